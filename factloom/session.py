@@ -27,6 +27,7 @@ def build_session(app_name: str = "factloom", master: str | None = None, **conf:
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "12g",
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
         })
     settings.update(conf)
     for key, value in settings.items():
