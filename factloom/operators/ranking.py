@@ -106,31 +106,6 @@ def prefix_pairs(left: DataFrame, right: DataFrame, min_len: int = 1) -> DataFra
     return tok_longer.unionByName(term_longer)
 
 
-def score_query_table(docs: DataFrame, doc_id: str, tokens: str, queries: DataFrame) -> DataFrame:
-    """BM25 of every (qid, term) query row set against every matching document, by vocabulary join.
-
-    Used when the queries are a table themselves. Token counts are combined per document before the
-    join, prefix matching runs on the distinct vocabulary, and scores are plain sums.
-    """
-    toks = docs.select(F.col(doc_id).alias("doc"), F.size(tokens).alias("len"), F.explode(tokens).alias("tok"))
-    counts = toks.groupBy("doc", "len", "tok").agg(F.count(F.lit(1)).alias("cnt"))
-    terms = queries.select("term").distinct()
-    pairs = prefix_pairs(terms, toks.select("tok").distinct())
-    tf = counts.join(pairs, "tok").groupBy("doc", "len", "term").agg(F.sum(F.col("cnt") * F.col("weight")).alias("tf"))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens)).alias("mean")).first()
-    n, mean = totals["n"] or 1, float(totals["mean"] or 1.0)
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    norm = F.lit(1 - B) + F.lit(B) * F.col("len") / F.lit(mean)
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + F.lit(K1) * norm)
-    return (
-        queries.select("qid", "term").distinct()
-        .join(tf.join(dfreq, "term"), "term")
-        .groupBy("qid", "doc")
-        .agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("terms_hit"))
-    )
-
-
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """First ``k`` rows per key. Spark cuts each task's groups to ``k`` before the shuffle."""
     w = W.partitionBy(*keys).orderBy(*order)

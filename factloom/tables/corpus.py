@@ -16,30 +16,43 @@ from factloom.session import scan, spread
 FILE_COLUMNS = ["path", "package", "text", "version"]
 
 
-def customer_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One exporting module per customer: function, interface, enum, constant, type and class."""
+def customer_modules(spark: SparkSession, sf_dir: str, version: str = "head") -> DataFrame:
+    """One exporting module per customer: function, interface, enum and constant.
+
+    The base version is unedited. In the head version the last digit of the key decides the edit: 0 removes the
+    interface, 1 adds a required parameter, 2 changes the return type, 3 adds and 4 removes an enum member, 5 adds
+    an export, 6 makes a parameter required, 7 adds an optional parameter, 8 adds a required member, 9 nothing.
+    """
     t = scan(spark, sf_dir, "customer")
+    edit = lambda d, new, old: f"if(c_custkey % 10 = {d}, {new}, {old})" if version == "edited" else old
+    optional = edit(6, "''", "if(c_custkey % 2 = 0, '?', '')")
+    more_params = edit(1, "', region: string'", edit(7, "', note?: string'", "''"))
+    returns = edit(2, "'string'", "'number'")
+    member = edit(8, "'vip: boolean; '", "''")
+    interface = f"""concat('export interface Customer', c_custkey, 'Info {{ name: string; ', {member}, 'segment', if(c_custkey % 5 = 0, '?', ''), ': Segment; }}')"""
     return t.select(
         F.expr("concat('packages/nation', c_nationkey, '/src/customer', c_custkey, '.ts')").alias("path"),
         F.expr("concat('nation', c_nationkey)").alias("package"),
-        F.expr(r"""concat_ws('\n',
-            concat('import { Segment } from ''@shop/segments'';'),
+        F.expr(rf"""concat_ws('\n',
+            'import {{ Segment }} from ''@shop/segments'';',
             '',
             concat('/** Looks up the balance of ', c_name, '. */'),
             concat('export ', if(c_custkey % 3 = 0, 'async ', ''), 'function customer', c_custkey,
-                   '(status: string, priority', if(c_custkey % 2 = 0, '?', ''), ': string): number {'),
-            case c_custkey % 4 when 0 then '  try { return fetchBalance(status); } catch (err) { return 0; }'
-                               when 1 then '  if (status) { return 1; }'
+                   '(status: string, priority', {optional}, ': string', {more_params}, '): ', {returns}, ' {{'),
+            case c_custkey % 4 when 0 then '  try {{ return fetchBalance(status); }} catch (err) {{ return 0; }}'
+                               when 1 then '  if (status) {{ return 1; }}'
                                when 2 then '  return () => stop();'
-                               else '  for (const s of items) { await load(s); }' end,
-            '}',
+                               else '  for (const s of items) {{ await load(s); }}' end,
+            '}}',
             '',
-            concat('export interface Customer', c_custkey, 'Info { name: string; segment', if(c_custkey % 5 = 0, '?', ''), ': Segment; }'),
+            {edit(0, "'// moved'", interface)},
             concat('// flag of segment ', c_mktsegment),
             concat('export const balance', c_custkey, ' = ', cast(cast(c_acctbal as bigint) as string), ';'),
-            concat('export enum Level', c_custkey, ' { Low, High', if(c_custkey % 2 = 1, ', Top', ''), ' }'),
+            concat('export enum Level', c_custkey, ' {{ Low', {edit(4, "''", "', High'")}, if(c_custkey % 2 = 1, ', Top', ''), {edit(3, "', Extra'", "''")}, ' }}'),
+            {edit(5, "concat('export const extra', c_custkey, ' = 1;')", "''")},
+            concat('export function isInfo', c_custkey, '(x: unknown): x is Customer', c_custkey, 'Info {{ return typeof x === ''object''; }}'),
             '')""").alias("text"),
-        F.lit("head").alias("version"),
+        F.lit(version).alias("version"),
         F.col("c_custkey").alias("key"),
     )
 
@@ -80,13 +93,20 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(customer_modules(spark, sf_dir).unionByName(order_modules(spark, sf_dir)).drop("key"))
 
 
-def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(customer_modules(spark, sf_dir))
+def customer_files(spark: SparkSession, sf_dir: str, version: str = "head") -> DataFrame:
+    return spread(customer_modules(spark, sf_dir, version))
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(order_modules(spark, sf_dir))
 
 
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package.json per nation."""
+    return scan(spark, sf_dir, "nation").select(
+        F.expr("concat('packages/nation', n_nationkey, '/package.json')").alias("path"),
+        F.expr("""concat('{"name": "@shop/nation', n_nationkey, '", "scripts": {"build": "tsc"}}')""").alias("text"))
+
+
 def tokens_of(files: DataFrame) -> DataFrame:
     return lexer.tokens(files)
