@@ -6,6 +6,7 @@ are computed inside the row, and only one row of corpus statistics crosses the c
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import add
 
@@ -25,14 +26,10 @@ TEST_PENALTY, GENERATED_PENALTY, DEMO_PENALTY, DTS_PENALTY = 3, 10, 4, 6
 LINE_BUCKET = 3
 
 
-def term_frequency(tokens: Column, term: str) -> Column:
-    """Exact hits count one, prefix hits in either direction a half."""
-    t = F.lit(term)
-    return F.aggregate(
-        tokens,
-        F.lit(0.0),
-        lambda acc, tok: acc + F.when(tok == t, 1.0).when(prefix_overlap(tok, t), 0.5).otherwise(0.0),
-    )
+def term_frequencies(tokens: Column, terms: list[str]) -> Column:
+    """Array of frequencies, one per term: exact hits count one, prefix hits in either direction a half."""
+    return F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.aggregate(
+        tokens, F.lit(0.0), lambda acc, tok: acc + F.when(tok == t, 1.0).when(prefix_overlap(tok, t), 0.5).otherwise(0.0)))
 
 
 def score_fielded(docs: DataFrame, terms: list[str], weights: dict[str, float], limit: int | None = None,
@@ -40,45 +37,36 @@ def score_fielded(docs: DataFrame, terms: list[str], weights: dict[str, float],
     """Add ``score`` and ``matched`` to the documents that match at least one term.
 
     ``weights`` maps token-array columns to field weights. Two narrow passes: one row of statistics
-    (document count, mean field lengths, document frequencies), then scoring with those constants.
+    (document count, mean field lengths, document frequencies), then scoring with those constants. Terms
+    live in arrays, so the plan stays the same size for any number of them.
     """
     terms = list(dict.fromkeys(terms))
     fields = list(weights)
     if not terms:
         return docs.limit(0).withColumn("score", F.lit(0.0)).withColumn("matched", F.array().cast("array<string>"))
-    tf_cols = {(f, i): f"__tf_{f}_{i}" for f in fields for i in range(len(terms))}
-    counted = docs.select(
-        "*",
-        *[term_frequency(F.col(f), t).alias(tf_cols[f, i]) for f in fields for i, t in enumerate(terms)],
-        *[F.size(f).alias(f"__len_{f}") for f in fields],
-    )
-
-    def any_field(i: int) -> Column:
-        return reduce(lambda a, b: a | b, [F.col(tf_cols[f, i]) > 0 for f in fields])
-
+    tf = {f: f"__tf_{f}" for f in fields}
+    counted = docs.select("*", *[term_frequencies(F.col(f), terms).alias(tf[f]) for f in fields])
+    in_any = lambda i: reduce(lambda a, b: a | b, [F.get(tf[f], F.lit(i)) > 0 for f in fields])
     stats = counted.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(f"__len_{f}").alias(f"avg_{f}") for f in fields],
-        *[F.count_if(any_field(i)).alias(f"df_{i}") for i in range(len(terms))],
+        F.count(F.lit(1)).alias("n"), *[F.avg(F.size(f)).alias(f"avg_{f}") for f in fields],
+        *[F.count_if(in_any(i)).alias(f"df_{i}") for i in range(len(terms))],
     ).first()
     n = stats["n"] or 1
+    idf = F.array(*[F.lit(math.log((n - stats[f"df_{i}"] + 0.5) / (stats[f"df_{i}"] + 0.5) + 1)) for i in range(len(terms))])
 
-    parts = []
-    for i in range(len(terms)):
-        df = float(stats[f"df_{i}"])
-        idf = F.log(F.lit((n - df + 0.5) / (df + 0.5) + 1.0))
-        for f in fields:
-            tf = F.col(tf_cols[f, i])
-            mean = stats[f"avg_{f}"] or 1.0
-            norm = F.lit(1 - B) + F.lit(B) * F.col(f"__len_{f}") / F.lit(float(mean))
-            parts.append(idf * (tf * F.lit(K1 + 1)) / (tf + F.lit(K1) * norm) * F.lit(float(weights[f])))
-    hit = reduce(lambda a, b: a | b, [any_field(i) for i in range(len(terms))])
-    matched = F.filter(
-        F.array(*[F.when(F.col(tf_cols[f, i]) > 0, F.lit(f"{f}:{t}")) for f in fields for i, t in enumerate(terms)]),
-        lambda e: e.isNotNull(),
-    )
-    scored = counted.filter(hit).withColumn("score", reduce(add, parts)).withColumn("matched", matched)
-    scored = scored.drop(*tf_cols.values(), *[f"__len_{f}" for f in fields])
+    def field_score(f: str) -> Column:
+        norm = F.lit(1 - B) + F.lit(B) * F.size(f) / F.lit(float(stats[f"avg_{f}"] or 1.0))
+        parts = F.zip_with(F.col(tf[f]), idf, lambda x, w: w * (x * F.lit(K1 + 1)) / (x + F.lit(K1) * norm))
+        return F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0))) * F.lit(float(weights[f]))
+
+    def field_matches(f: str) -> Column:
+        words = F.array(*[F.lit(f"{f}:{t}") for t in terms])
+        return F.filter(words, lambda _, i: F.get(tf[f], i) > 0)
+
+    # The one-element array is a barrier: the score is computed once and rows without a hit stop here.
+    result = F.struct(reduce(add, [field_score(f) for f in fields]).alias("score"),
+                      F.concat(*[field_matches(f) for f in fields]).alias("matched"))
+    scored = counted.select(*docs.columns, F.inline(F.filter(F.array(result), lambda r: r["score"] > 0)))
     if limit is not None:
         scored = scored.orderBy(F.desc("score"), *(tie or [])).limit(limit)
     return scored

@@ -7,6 +7,7 @@ grouped, so a customer holding a third of all orders is a third of the files, ne
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,5 +109,20 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("""concat('{"name": "@shop/nation', n_nationkey, '", "scripts": {"build": "tsc"}}')""").alias("text"))
 
 
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept_tokens(spark: SparkSession, sf_dir: str, which: str, version: str = "head") -> DataFrame:
+    """Token rows of a corpus, cut once per session and kept in memory, spilling to disk.
+
+    Stands for the token table a deployment stores next to its files; a lost block is cut again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, which, version)
+    if key not in _KEPT:
+        files = {"customer": lambda: customer_files(spark, sf_dir, version), "order": lambda: order_files(spark, sf_dir)}[which]()
+        _KEPT[key] = lexer.tokens(files).persist(StorageLevel.MEMORY_AND_DISK)
+    return _KEPT[key]
+
+
 def tokens_of(files: DataFrame) -> DataFrame:
     return lexer.tokens(files)

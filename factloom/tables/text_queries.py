@@ -334,11 +334,11 @@ def query_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 WITH t(i, ret, rec) AS (VALUES
  (0, 'identifier,regex,structural', 'react.useeffect.conditional-cleanup'), (1, 'behavior,doc', ''), (2, 'identifier', ''), (3, 'structural', ''), (4, 'structural', ''),
- (5, 'behavior,config,doc,regex', 'config.feature-flag'), (6, 'behavior,config,doc,identifier,regex', 'config.env-var'), (7, 'structural', ''),
+ (5, 'behavior,config,doc,regex', 'config.feature-flag'), (6, 'config,identifier,regex', 'config.env-var'), (7, 'structural', ''),
  (8, 'behavior,config,doc,identifier,regex,route', 'express.route-definition,next.api-route'), (9, 'behavior,doc', ''),
  (10, 'identifier,regex,structural', 'react.useeffect.functional-state-updater'), (11, 'behavior,doc', ''))
 SELECT 'e' || event_id AS qid, CASE WHEN event_type = 'error' AND i IN (3, 4, 7) THEN 'behavior,doc,structural'
-       WHEN event_type = 'error' AND i IN (2, 10) THEN 'behavior,doc,' || ret ELSE ret END AS retrievers, rec AS recipes
+       WHEN event_type = 'error' AND i = 6 THEN 'behavior,config,doc,identifier,regex' WHEN event_type = 'error' AND i IN (2, 10) THEN 'behavior,doc,' || ret ELSE ret END AS retrievers, rec AS recipes
 FROM events JOIN t ON i = event_id % 12""")
 def query_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrievers and recipes chosen for the templated queries (Q-8, Q-9)."""
