@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import os
 import subprocess
 from collections.abc import Iterator
 
@@ -17,13 +18,32 @@ c = F.col
 
 def read_tree(spark: SparkSession, root: str, version: str = "head") -> DataFrame:
     """Every text file below ``root``: (path, text, mtime, length, version), paths relative to the root."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     uri = text.uri_to_path(F.regexp_replace(c("_metadata.file_path"), "^file:/+", "/"))
     files = raw.select(uri.alias("full"), c("value").alias("text"),
                        c("_metadata.file_modification_time").alias("mtime"), c("_metadata.file_size").alias("length"))
     return with_package(files.withColumn("path", text.relative_path("full", root)).drop("full").withColumn("version", F.lit(version)))
 
 
+def read_env_templates(spark: SparkSession, root: str, version: str = "head") -> DataFrame:
+    """Env templates below a local root. Spark's readers hide dot files, so the driver lists the few names and tasks read them."""
+    found = [os.path.join(d, n) for d, subs, names in os.walk(root) for n in names if n.lower() in paths.ENV_TEMPLATES]
+    listing = spark.createDataFrame([(p,) for p in found], "full string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bodies = []
+            for full in pdf["full"]:
+                with open(full, encoding="utf-8", errors="replace") as f:
+                    bodies.append(f.read())
+            stat = [os.stat(full) for full in pdf["full"]]
+            yield pd.DataFrame({"full": pdf["full"], "text": bodies, "mtime": pd.to_datetime([x.st_mtime for x in stat], unit="s"),
+                                "length": [x.st_size for x in stat]})
+
+    files = listing.mapInPandas(run, "full string, text string, mtime timestamp, length long")
+    return with_package(files.withColumn("path", text.relative_path("full", root)).drop("full").withColumn("version", F.lit(version)))
+
+
 def with_package(files: DataFrame) -> DataFrame:
     return files.withColumn("package", paths.package_of(c("path"))).withColumn("is_test", paths.is_test_file(c("path")))
 

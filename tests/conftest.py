@@ -21,9 +21,9 @@ def spark():
 
 @pytest.fixture(scope="session")
 def shop_files(spark):
-    from factloom.sources.files import read_tree
+    from factloom.sources.files import read_env_templates, read_tree
 
-    return read_tree(spark, SHOP).cache()
+    return read_tree(spark, SHOP).unionByName(read_env_templates(spark, SHOP)).cache()
 
 
 @pytest.fixture(scope="session")

@@ -36,7 +36,7 @@ def test_usages_and_enclosing(shop):
     assert ("process.env.DATABASE_URL", "env-usage", None) in u
     assert ("import.meta.env.MODE", "env-usage", None) in u
     assert ("Card", "jsx-tag", "Panel") in u and ("Badge", "jsx-tag", "Panel") in u
-    assert ("encodeURIComponent", "call", "createClient") in u
+    assert ("encodeURIComponent", "call", "fetchItem") in u
     assert ("useEffect", "import", None) in u and ("React", "import", None) in u
     assert not any(x[0] == "process.env.LIST" for x in u)  # only the outermost access counts
 
