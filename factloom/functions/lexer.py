@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(
-    r"(?P<nl>\n)|(?P<ws>[^\S\n]+)|(?P<com>//[^\n]*|/\*[\s\S]*?\*/)"
+    r"[^\S\n]*(?:(?P<nl>\n)|(?P<com>//[^\n]*|/\*[\s\S]*?\*/)"
     r"|(?P<str>'(?:[^'\\\n]|\\[\s\S])*'|\"(?:[^\"\\\n]|\\[\s\S])*\")"
     r"|(?P<tpl>`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{))"
     r"|(?P<num>\d[\w.]*)|(?P<id>[A-Za-z_$\u0080-￿][\w$]*)"
-    r"|(?P<op>=>|\.\.\.|\?\.(?!\d)|===|!==|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|\+=|-=|[^\w\s])"
+    r"|(?P<op>=>|\.\.\.|\?\.(?!\d)|===|!==|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|\+=|-=|[^\w\s]))"
 )
 _TPL_REST = re.compile(r"\}(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{)")
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
@@ -45,6 +45,9 @@ TOKEN_SCHEMA = (
 )
 _FIELDS = [part.strip().split(" ") for part in TOKEN_SCHEMA.split(",")]
 _ARROW = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in _FIELDS])
+_PAD = 130
+_ROLE_WORDS = frozenset(("(", "=>", "{", "class", "interface", "enum", "type"))
+_EXTENT_WORDS = frozenset(("{", "for", "while", "do", "switch", "try", "if"))
 _KEPT_OPS = frozenset(("(", "{", "?", "=>", "===", "!==", "*", "}"))
 _FLUSH = 100_000
 
@@ -53,41 +56,51 @@ def cut(text: str):
     """Plain token lists: kinds, texts, offsets, lines, columns and the comments before each token."""
     kinds, texts, offs, lines, cols, comments = [], [], [], [], [], {}
     pos, line, bol, n, tpl_depth, depth = 0, 1, 0, len(text), [], 0
-    match, match_rest, match_regex = _TOKEN.match, _TPL_REST.match, _REGEX.match
+    match = _TOKEN.match
     while pos < n:
-        m = None
-        ch = text[pos]
-        if ch == "}" and tpl_depth and tpl_depth[-1] == depth:
-            m = match_rest(text, pos)
-            kind = "tpl"
-            if m and m.group().endswith("`"):
-                tpl_depth.pop()
-        elif ch == "/" and text[pos + 1:pos + 2] not in ("/", "*"):
-            prev = texts[-1] if texts else "("
-            value = kinds and (kinds[-1] in ("num", "str", "regex") or prev in (")", "]", "}")
-                               or (kinds[-1] == "id" and prev not in KEYWORDS))
-            m = None if value else match_regex(text, pos)
-            kind = "regex"
+        m = match(text, pos)
         if m is None:
-            m = match(text, pos)
-            if m is None:
-                pos += 1
-                continue
-            kind = m.lastgroup
-            if kind == "tpl" and m.group().endswith("${"):
-                tpl_depth.append(depth)
-        tok = m.group()
+            pos += 1
+            continue
+        kind = m.lastgroup
+        pos, end = m.span(kind)
         if kind == "nl":
-            line, bol = line + 1, m.end()
-        elif kind == "com":
+            line, bol, pos = line + 1, end, end
+            continue
+        tok = text[pos:end]
+        if kind == "op":
+            if tok == "}":
+                if tpl_depth and tpl_depth[-1] == depth:  # a substitution ends, its template goes on
+                    rest = _TPL_REST.match(text, pos)
+                    if rest:
+                        kind, tok, end = "tpl", rest.group(), rest.end()
+                        if tok.endswith("`"):
+                            tpl_depth.pop()
+                if kind == "op":
+                    depth -= 1
+            elif tok == "{":
+                depth += 1
+            elif tok == "/":
+                prev = texts[-1] if texts else "("
+                value = kinds and (kinds[-1] in ("num", "str", "regex") or prev in (")", "]", "}")
+                                   or (kinds[-1] == "id" and prev not in KEYWORDS))
+                pattern = None if value else _REGEX.match(text, pos)
+                if pattern:
+                    kind, tok, end = "regex", pattern.group(), pattern.end()
+        elif kind == "tpl" and tok.endswith("${"):
+            tpl_depth.append(depth)
+        if kind == "com":
             comments.setdefault(len(kinds), []).append(tok)
-        elif kind != "ws":
-            kinds.append(kind), texts.append(tok), offs.append(pos), lines.append(line), cols.append(pos - bol)
-            depth += (tok == "{") - (tok == "}")
-        if kind in ("com", "tpl", "str") and "\n" in tok:
+        else:
+            kinds.append(kind)
+            texts.append(tok)
+            offs.append(pos)
+            lines.append(line)
+            cols.append(pos - bol)
+        if kind != "id" and kind != "op" and "\n" in tok:
             line += tok.count("\n")
             bol = pos + tok.rindex("\n") + 1
-        pos = m.end()
+        pos = end
     return kinds, texts, offs, lines, cols, comments
 
 
@@ -117,7 +130,7 @@ def pair_brackets(texts: list[str], kinds: list[str]):
 
 def _type_end(texts, i, close, stops):
     """First token at or after ``i`` that ends a type or expression in the same bracket group."""
-    n, angle = len(texts), 0
+    n, angle = len(texts) - _PAD, 0
     while i < n:
         t = texts[i]
         if t in close_set or (t in stops and angle <= 0):
@@ -134,7 +147,8 @@ def token_rows(file: str, text: str, everything: bool = False) -> Iterator[tuple
     kinds, texts, offs, lines, cols, comments = cut(text)
     opens, depths, close, commas = pair_brackets(texts, kinds)
     n = len(texts)
-    at = lambda i: texts[i] if 0 <= i < n else None
+    texts += [None] * _PAD  # reading past either end gives None
+    at = texts.__getitem__
     jsx_ok = not file.endswith(".ts")
 
     # Roles of brackets, and the function, class and statement nodes they open.
@@ -170,6 +184,8 @@ def token_rows(file: str, text: str, everything: bool = False) -> Iterator[tuple
 
     for i in range(n):
         t = texts[i]
+        if t not in _ROLE_WORDS:
+            continue
         if t == "(" and kinds[i] == "op":
             p, c = at(i - 1), close[i]
             j = i - 1
@@ -281,6 +297,8 @@ def token_rows(file: str, text: str, everything: bool = False) -> Iterator[tuple
     opener_of = {c: o for o, c in close.items()}
     for i in range(n):  # bodies of control statements and extents of loops, switches and tries
         t = texts[i]
+        if t not in _EXTENT_WORDS:
+            continue
         if t == "{" and at(i - 1) == ")" and role.get(i) == "block":
             role[i] = role.get(opener_of.get(i - 1)) or "block"
         if kinds[i] == "id" and at(i - 1) != "." and t in ("for", "while", "do", "switch", "try", "if"):
@@ -308,7 +326,7 @@ def token_rows(file: str, text: str, everything: bool = False) -> Iterator[tuple
         while syms and syms[-1][2] < i:
             syms.pop()
         fresh = current.get(o) is None
-        if not fresh and t in _STARTERS and kinds[i] == "id" and lines[i] > lines[i - 1] \
+        if not fresh and t in _STARTERS and i and kinds[i] == "id" and lines[i] > lines[i - 1] \
                 and (o == -1 or texts[o] == "{") and role.get(o) not in ("object", "enum", "names"):
             fresh = True
         if role.get(o) == "names":
@@ -322,15 +340,15 @@ def token_rows(file: str, text: str, everything: bool = False) -> Iterator[tuple
         elif t == "," and o >= 0 and role.get(o) in ("object", "enum", "params", "call"):
             current[o] = None
         enclosing_fn[i] = fns[-1][0] if fns else -1
-        if node.get(i) in ("arrow", "function", "funcexpr", "method"):
+        if i in node and node[i] in ("arrow", "function", "funcexpr", "method"):
             fns.append((i, until[i]))
-        begin = i
-        if node.get(i) in ("function", "method", "class") or (i in name and node.get(i) in ("arrow", "funcexpr")
-                                                              and at(name[i] - 1) in ("const", "let", "var")):
-            kind = {"arrow": "function", "funcexpr": "function"}.get(node[i], node[i])
-            if i in name:
-                syms.append((texts[name[i]], kind, until[i]))
-        if syms and begin >= 0:
+        what = node.get(i)
+        if what is not None:
+            if what in ("function", "method", "class") or (i in name and what in ("arrow", "funcexpr")
+                                                           and at(name[i] - 1) in ("const", "let", "var")):
+                if i in name:
+                    syms.append((texts[name[i]], "function" if what in ("arrow", "funcexpr") else what, until[i]))
+        if syms:
             sym[i], sym_kind[i] = syms[-1][0], syms[-1][1]
         if t == "from" and i + 1 < n and kinds[i + 1] == "str":
             module_of[stmt_of[i]] = texts[i + 1][1:-1]
@@ -338,7 +356,7 @@ def token_rows(file: str, text: str, everything: bool = False) -> Iterator[tuple
             module_of[stmt_of[i]] = texts[i + 1][1:-1]
 
     for i in range(n):  # type annotations of parameters, members and variables
-        if kinds[i] == "id" and i + 1 < n and i not in ann:
+        if texts[i + 1] in (":", "?") and kinds[i] == "id" and i not in ann:
             k = i + 2 if texts[i + 1] == "?" and at(i + 2) == ":" else (i + 1 if texts[i + 1] == ":" else None)
             if k is not None and role.get(opens[i]) in ("params", "interface", "class", "type") or (
                     k is not None and at(i - 1) in ("const", "let", "var")):

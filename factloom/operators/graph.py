@@ -377,8 +377,9 @@ def first_fit(items: DataFrame, keys: list[str], order: str, cost: str, budget:
     round's budget and start. An overflowing item costs more than what is left, so every round shrinks
     the items that can still fit.
     """
-    work = items.select(*keys, c(order).cast("long").alias("__o"), c(cost).cast("long").alias("__c"))
-    state = items.select(*keys).distinct().select(*keys, F.lit(budget).cast("long").alias("left"), F.lit(None).cast("long").alias("pos"))
+    # Rounds read this narrow copy, not the plan that produced the items.
+    work = cut_lineage(items.select(*keys, c(order).cast("long").alias("__o"), c(cost).cast("long").alias("__c")).filter(c("__c") <= budget))
+    state = work.select(*keys).distinct().select(*keys, F.lit(budget).cast("long").alias("left"), F.lit(None).cast("long").alias("pos"))
     rounds = None
     while True:
         state = cut_lineage(state)

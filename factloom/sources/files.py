@@ -37,7 +37,7 @@ def read_env_templates(spark: SparkSession, root: str, version: str = "head") ->
                 with open(full, encoding="utf-8", errors="replace") as f:
                     bodies.append(f.read())
             stat = [os.stat(full) for full in pdf["full"]]
-            yield pd.DataFrame({"full": pdf["full"], "text": bodies, "mtime": pd.to_datetime([x.st_mtime for x in stat], unit="s"),
+            yield pd.DataFrame({"full": pdf["full"], "text": bodies, "mtime": pd.to_datetime([x.st_mtime_ns // 1000 for x in stat], unit="us"),
                                 "length": [x.st_size for x in stat]})
 
     files = listing.mapInPandas(run, "full string, text string, mtime timestamp, length long")
