@@ -113,7 +113,8 @@ def pair_brackets(texts: list[str], kinds: list[str]):
             if t in (")", "]", "}") and stack:
                 for back in range(len(stack) - 1, -1, -1):
                     if _OPEN[texts[stack[back]]] == t:
-                        close[stack[back]] = i
+                        for left in reversed(stack[back:]):  # unclosed inner groups end here too
+                            close[left] = i
                         del stack[back:]
                         break
             opens[i], depths[i] = (stack[-1] if stack else -1), len(stack)
@@ -223,7 +224,7 @@ def token_rows(file: str, text: str, everything: bool = False) -> Iterator[tuple
                 if arrow:
                     e += 1
                     start = i - 1 if at(i - 1) == "async" else i
-                    nm = name_before(start)
+                    nm = name_before(j + 1)
                     what = "arrow"
                 elif decl:
                     s = j if p == "function" else j - 1

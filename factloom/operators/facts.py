@@ -441,3 +441,24 @@ def heritage(tokens: DataFrame) -> DataFrame:
                          ).select("file", "ord", c("text").alias("parent"), F.coalesce(c("p1") != ",", F.lit(True)).alias("direct"))
     return heads.join(refs, "file").filter((c("ord") > c("start")) & (c("ord") < c("body"))).select(
         "file", "name", "parent", "line", "col")
+
+
+# Statement word to the kind of node an error on its line points at.
+STATEMENT_KINDS = {
+    "return": "return", "const": "variable", "let": "variable", "var": "variable", "import": "import", "export": "export",
+    "switch": "switch", "case": "switch", "default": "switch", "if": "conditional", "class": "class", "function": "function",
+    "async": "function",
+}
+
+
+def nodes_at_lines(tokens: DataFrame, targets: DataFrame) -> DataFrame:
+    """Kind of the outermost node that starts on each wanted (file, line): statement word first, else what the line holds."""
+    at = tokens.join(targets.select("file", "line").distinct(), ["file", "line"], "left_semi")
+    head = F.struct((c("ord") == c("stmt")).alias("starts"), "s1", "chain", "open_role", "n1")
+    per = at.groupBy("file", "line").agg(F.min_by(head, "ord").alias("f"), F.bool_or(F.coalesce(c("node") == "call", F.lit(False))).alias("calls"))
+    by_word = F.lit(None).cast("string")
+    for word, kind in STATEMENT_KINDS.items():
+        by_word = F.when(c("f.starts") & (c("f.s1") == word), kind).otherwise(by_word)
+    kind = F.coalesce(by_word, F.when(c("calls"), "call"), F.when(F.contains("f.chain", F.lit(".")), "property"),
+                      F.when((c("f.open_role") == "object") & (c("f.n1") == ":"), "object"), F.lit("expression"))
+    return per.select("file", "line", kind.alias("kind"))

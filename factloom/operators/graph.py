@@ -254,7 +254,8 @@ def rename_edits(refs: DataFrame, symbols: DataFrame, declarations: DataFrame, n
 def completions(tokens: DataFrame, bindings: DataFrame, file: str, line: int, prefix: str, limit: int = COMPLETION_LIMIT) -> DataFrame:
     """Names in scope of a file that start with the prefix, nearest declaration first."""
     near = tokens.filter((c("file") == file) & (c("kind") == "id") & ~c("text").isin(*KEYWORDS)
-                         & (c("p1").isin("const", "let", "var", "function", "class", "interface", "type", "enum") | (c("open_role") == "params")))
+                         & (c("p1").isin("const", "let", "var", "function", "class", "interface", "type", "enum") | (c("open_role") == "params")
+                            | (c("p1").isin("[", "{") & c("p2").isin("const", "let", "var"))))
     names = near.select(c("text").alias("label"), F.abs(c("line") - line).alias("distance")).unionByName(
         bindings.filter(c("file") == file).select(c("local").alias("label"), F.abs(c("line") - line).alias("distance")))
     return names.filter(F.startswith("label", F.lit(prefix))).groupBy("label").agg(F.min("distance").alias("distance")).orderBy(

@@ -55,14 +55,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+SPREAD_BELOW = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores enough tasks for CPU-heavy row work.
+    """Give a scan of very few splits enough tasks for CPU-heavy row work.
 
-    The input's own split count is looked up, so a large table (many splits) is never shuffled.
+    Only a small table has fewer splits than this; a large one is never shuffled for it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_BELOW)
+    if df.rdd.getNumPartitions() < wanted:
+        return df.repartition(wanted)
     return df
 
 

@@ -581,3 +581,36 @@ def find_code_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked search for an identifier with structural cues over all modules (T-21)."""
     out, _ = fc.find_code(workspace(spark, sf_dir), "useEffect that returns a cleanup callback", include_tests=True)
     return out.select("file", long("line"), "name", "score")
+
+
+@query(f"""
+SELECT {OFILE} AS file, line::BIGINT AS line, CASE line WHEN 5 THEN 'incompatible_assignment' WHEN 7 THEN 'wrong_return_type'
+ ELSE CASE WHEN {PRIO} IN ('3', '4') THEN 'unhandled_enum_member' ELSE 'bad_call_argument' END END AS site FROM orders, (VALUES (5), (6), (7)) v(line)""")
+def error_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error-site class of three lines of every order module (FX-21)."""
+    t = order_tokens(spark, sf_dir)
+    targets = corpus.order_modules(spark, sf_dir).select(c("path").alias("file"), F.explode(F.array(F.lit(5), F.lit(6), F.lit(7))).alias("line"))
+    at = facts.nodes_at_lines(t, targets)
+    return at.select("file", long("line"), workflows.error_site(c("kind")).alias("site"))
+
+
+@query(f"""
+SELECT {CFILE} AS file, 'customer' || c_custkey AS name, 'function customer' || c_custkey || '(status, priority' || CASE WHEN c_custkey % 2 = 0 THEN '?' ELSE '' END || '): number' AS signature FROM customer
+UNION ALL SELECT {CFILE}, 'Customer' || c_custkey || 'Info', 'interface Customer' || c_custkey || 'Info {{ name, segment }}' FROM customer
+UNION ALL SELECT {CFILE}, 'balance' || c_custkey, 'const balance' || c_custkey || ': unknown' FROM customer
+UNION ALL SELECT {CFILE}, 'Level' || c_custkey, 'enum Level' || c_custkey || ' {{ Low, High' || CASE WHEN c_custkey % 2 = 1 THEN ', Top' ELSE '' END || ' }}' FROM customer
+UNION ALL SELECT {CFILE}, 'isInfo' || c_custkey, 'function isInfo' || c_custkey || '(x): x is Customer' || c_custkey || 'Info' FROM customer""")
+def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbol tree with signatures (T-24)."""
+    t = customer_tokens(spark, sf_dir)
+    out = graph.outline(graph.document_symbols(facts.nodes(t), facts.declarations(t)), facts.shapes(t))
+    return out.select("file", "name", "signature")
+
+
+@query(f"""
+SELECT {CFILE} AS file, 'Customer' || c_custkey || 'Info' AS name, 'segment' AS member, 'Segment' AS type_text FROM customer""")
+def typed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members with a named type, the input of type definition lookups (T-3)."""
+    s = facts.shapes(customer_tokens(spark, sf_dir)).filter(c("kind") == "interface")
+    return s.select("file", "name", F.inline("members")).toDF("file", "owner", "member", "optional", "type_text").filter(
+        c("type_text").rlike("^[A-Z]")).select("file", c("owner").alias("name"), "member", "type_text")

@@ -183,9 +183,9 @@ def _cands(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("declaration").alias("candidate_type"), c("source").alias("file"), c("doc_id").cast("int").alias("line"), F.lit(0).alias("col"), c("lang").alias("symbol"),
         F.lit(None).cast("string").alias("matched"), c("lang").alias("name"), F.lit(kind).alias("kind"), F.lit(s).alias("src"), score.cast("long").alias("score"),
         F.array(F.lit(f"from-{s}")).alias("evidence"), F.array(F.lit(s)).alias("sources"))
-    parts = [row(d, "behavior", "function", c("n_chars") % 20), row(d.filter(c("doc_id") % 2 == 0), "identifier", "usage", c("n_chars") % 13),
-             row(d.filter(c("doc_id") % 3 == 0), "doc", "doc", c("n_chars") % 11), row(d.filter(c("doc_id") % 5 == 0), "config", "config", c("n_chars") % 7),
-             row(d.filter(c("doc_id") % 4 == 0), "route", "function", c("n_chars") % 5)]
+    parts = [row(d, "behavior", "function", c("n_chars") % 20), row(d.filter(c("lang").isin("en", "de")), "identifier", "usage", c("n_chars") % 13),
+             row(d.filter(c("n_chars") > 800), "doc", "doc", c("n_chars") % 11), row(d.filter(c("lang") == "fr"), "config", "config", c("n_chars") % 7),
+             row(d.filter(c("n_chars") < 1500), "route", "function", c("n_chars") % 5)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -193,9 +193,9 @@ def _cands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MERGED = """
-WITH m AS (SELECT doc_id, source, lang, (n_chars % 20 + CASE WHEN doc_id % 2 = 0 THEN n_chars % 13 + 3 ELSE 0 END
-  + CASE WHEN doc_id % 3 = 0 THEN floor((n_chars % 11) * 0.5 + 0.5) + 2 ELSE 0 END + CASE WHEN doc_id % 4 = 0 THEN n_chars % 5 + 3 ELSE 0 END)::BIGINT AS score,
-  1 + (doc_id % 2 = 0)::INT + (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT + (doc_id % 4 = 0)::INT AS n_sources FROM documents)
+WITH m AS (SELECT doc_id, source, lang, (n_chars % 20 + CASE WHEN lang IN ('en', 'de') THEN n_chars % 13 + 3 ELSE 0 END
+  + CASE WHEN n_chars > 800 THEN floor((n_chars % 11) * 0.5 + 0.5) + 2 ELSE 0 END + CASE WHEN n_chars < 1500 THEN n_chars % 5 + 3 ELSE 0 END)::BIGINT AS score,
+  1 + (lang IN ('en', 'de'))::INT + (n_chars > 800)::INT + (lang = 'fr')::INT + (n_chars < 1500)::INT AS n_sources FROM documents)
 """
 
 
@@ -224,7 +224,7 @@ def rank_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_MERGED + """, t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM m)
-SELECT source, doc_id, score, CASE WHEN n_sources > 1 AND score >= 15 THEN 'high' WHEN n_sources > 1 THEN 'high' WHEN score >= 15 THEN 'medium' ELSE 'medium' END AS confidence FROM t WHERE rank = 1""")
+SELECT source, doc_id, score, CASE WHEN n_sources > 1 THEN 'high' ELSE 'medium' END AS confidence FROM t WHERE rank = 1""")
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence of the best row per source (Q-13)."""
     top = ranking.top_per_key(ranking.merge_candidates(_cands(spark, sf_dir)), ["file"], [F.desc("score"), c("line")], 1)

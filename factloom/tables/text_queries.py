@@ -261,14 +261,18 @@ ROUTED_TEMPLATES = [
 ]
 
 
-def routed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free-text queries written from events, plus every conversation turn as it stands."""
+def event_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free-text queries written from events."""
     options = ", ".join(f"'{t}'" for t in ROUTED_TEMPLATES)
-    made = scan(spark, sf_dir, "events").select(
+    return scan(spark, sf_dir, "events").select(
         F.expr("concat('e', event_id)").alias("qid"),
         F.expr(f"concat(element_at(array({options}), cast(event_id % {len(ROUTED_TEMPLATES)} + 1 as int)), ' ', event_type, ' ', user_id)").alias("query"))
+
+
+def routed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event queries plus every conversation turn as it stands."""
     said = scan(spark, sf_dir, "conversations").select(F.expr("concat('c', conv_id, '.', turn)").alias("qid"), c("text").alias("query"))
-    return made.unionByName(said)
+    return event_queries(spark, sf_dir).unionByName(said)
 
 
 def _routing_sql() -> str:
@@ -342,7 +346,6 @@ SELECT 'e' || event_id AS qid, CASE WHEN event_type = 'error' AND i IN (3, 4, 7)
 FROM events JOIN t ON i = event_id % 12""")
 def query_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrievers and recipes chosen for the templated queries (Q-8, Q-9)."""
-    made = routed_queries(spark, sf_dir).filter(F.startswith("qid", F.lit("e")))
-    routed = routing.route(made)
+    routed = routing.route(event_queries(spark, sf_dir))
     return routed.select("qid", F.array_join(F.array_sort("retrievers"), ",").alias("retrievers"),
                          F.array_join(F.array_sort("recipes"), ",").alias("recipes"))

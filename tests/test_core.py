@@ -164,3 +164,29 @@ def test_hot_key_budget_uses_chunks(spark):
     out = graph.prefix_sum(df, ["k"], "o", "c", "s")
     assert out.filter("s <> o + 1").count() == 0
     assert out.select(F.floor(F.col("o") / graph.CHUNK)).distinct().count() > 1
+
+
+def test_gather_context_classes(spark):
+    edges = spark.createDataFrame([("a.ts", "b.ts"), ("a.ts", "b.test.ts"), ("b.ts", "c.ts")], "src string, dst string")
+    files = spark.createDataFrame([("a.ts", 40), ("b.ts", 30), ("c.ts", 10), ("b.test.ts", 5)], "path string, cost long")
+    seeds = spark.createDataFrame([("q", "a.ts")], "seed string, node string")
+    got = {r["node"]: (r["class"], r["taken"]) for r in graph.gather_context(edges, seeds, files, max_tokens=60).collect()}
+    assert got == {"a.ts": ("must-modify", True), "b.ts": ("verify-only", False), "c.ts": ("skip", False), "b.test.ts": ("skip", False)}
+
+
+def test_hints_and_next_steps(spark):
+    d = spark.createDataFrame([("TS2345", "props differ"), ("TS2345", "other")], "code string, message string")
+    assert [r["hint"] for r in workflows.cause_hints(d).collect()] == ["react-prop-type-mismatch", None]
+    step = spark.createDataFrame([("param_required: pay", "a.ts"), (None, "b.ts")], "x string, f string").select(
+        workflows.next_step(F.col("x"), F.col("f")).alias("s")).collect()
+    assert step[0]["s"].startswith("Find all callers of `pay`") and step[1]["s"].startswith("Run impact_trace on b.ts")
+
+
+def test_latest_diagnostics_stream(spark):
+    root = tempfile.mkdtemp(prefix="factloom-test-")
+    spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "file string, version long, diagnostics string").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("file string, version long, diagnostics string").parquet(f"{root}/in")
+    q = incremental.latest_diagnostics(stream).writeStream.outputMode("complete").format("memory").queryName("diag_now").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r["file"], r["diagnostics"]) for r in spark.table("diag_now").collect()} == {("a", "y"), ("b", "z")}
+    assert os.path.isdir(root)

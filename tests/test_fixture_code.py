@@ -165,3 +165,16 @@ def test_simulation_and_root_cause(spark, shop, shop_files):
     out = {r["change"]: r for r in workflows.simulate_changes(shop.shapes, recipes, calls, shop.switches).collect()}
     assert out[1]["kind"] == "param_required" and out[1]["risk"] == "breaking" and out[1]["breaking_callers"] >= 1
     assert out[2]["kind"] == "enum_member_added" and out[2]["open_switches"] == 1
+
+
+def test_completions_and_types(shop):
+    bindings = graph.import_bindings(shop.tokens)
+    got = rows(graph.completions(shop.tokens, bindings, APP + "effects.tsx", 8, "c"), "label")
+    assert {"count", "createClient"} <= got
+    params = shop.shapes.filter("name = 'label'").select("file", "name", F.inline("params")).toDF("file", "fn", "name", "optional", "rest", "type_text")
+    assert rows(graph.type_definitions(params, shop.declarations), "type_file", "type_kind") == {("packages/types/src/index.ts", "enum")}
+
+
+def test_wrappers(shop):
+    w = {r["name"]: (r["target"], r["wrapper_confidence"]) for r in fc.wrappers(shop).collect()}
+    assert w["guard"] == ("checkAccess", 0.9)
