@@ -222,6 +222,14 @@ def hover(shapes: DataFrame, docs: DataFrame) -> DataFrame:
     return shapes.select("file", "name", "line", "kind", "signature").join(d, ["file", "name"], "left")
 
 
+def inspect_symbols(shapes: DataFrame, docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """Signature, documentation, reference count and using files of every exported symbol."""
+    counts = refs.groupBy(c("def_file").alias("file"), c("def_symbol").alias("name")).agg(
+        F.count(F.lit(1)).alias("refs"), F.countDistinct("file").alias("files"))
+    out = hover(shapes, docs).join(counts, ["file", "name"], "left")
+    return out.withColumn("refs", F.coalesce("refs", F.lit(0))).withColumn("files", F.coalesce("files", F.lit(0)))
+
+
 def type_definitions(names: DataFrame, type_decls: DataFrame) -> DataFrame:
     """Declarations of the types named in ``type_text``; wrappers like Promise<T> and T[] are looked through."""
     parts = F.array_distinct(F.regexp_extract_all("type_text", F.lit("([A-Za-z_$][\\w$]*)"), 1))

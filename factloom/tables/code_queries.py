@@ -614,3 +614,27 @@ def typed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = facts.shapes(customer_tokens(spark, sf_dir)).filter(c("kind") == "interface")
     return s.select("file", "name", F.inline("members")).toDF("file", "owner", "member", "optional", "type_text").filter(
         c("type_text").rlike("^[A-Z]")).select("file", c("owner").alias("name"), "member", "type_text")
+
+
+@query(f"""
+WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT {CFILE} AS file, 'customer' || c_custkey AS name, 'Looks up the balance of ' || c_name || '.' AS doc, coalesce(2 * n, 0) AS refs, coalesce(n, 0) AS files
+FROM customer LEFT JOIN n ON o_custkey = c_custkey""")
+def inspect_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signature, doc and reference counts of documented exports (T-14)."""
+    t = customer_tokens(spark, sf_dir)
+    out = graph.inspect_symbols(facts.shapes(t), facts.docs(t), resolved(spark, sf_dir)[0])
+    return out.filter(c("doc").isNotNull()).select("file", "name", "doc", "refs", "files")
+
+
+@query(_ERR + f""", o AS (SELECT o_orderkey, k, {OFILE} AS file, {PRIO} AS p FROM e JOIN orders USING (o_orderkey))
+SELECT o_orderkey AS target, file, CASE WHEN k % 10 = 4 AND p = '3' THEN 6 ELSE 7 END::BIGINT AS line,
+ CASE WHEN k % 10 = 4 AND p = '3' THEN 'TS2339' ELSE 'TS2554' END AS code, CASE WHEN k % 10 = 4 AND p = '3' THEN 'unhandled_enum_member' ELSE 'wrong_return_type' END AS site FROM o""")
+def explain_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's error nearest to line 6, with the class of its site (T-19)."""
+    diags, _, t, _ = _diagnostics(spark, sf_dir)
+    wrong = diags.filter(c("code") == workflows.ARITY_CODE).select("file").distinct()
+    targets = corpus.order_modules(spark, sf_dir).select(c("key").alias("target"), c("path").alias("file"), F.lit(6).alias("line"),
+                                                         F.lit(None).cast("string").alias("code")).join(wrong, "file", "left_semi")
+    out = workflows.explain_errors(targets, diags, t)
+    return out.select("target", "file", long("line"), "code", "site")
