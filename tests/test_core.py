@@ -190,3 +190,22 @@ def test_latest_diagnostics_stream(spark):
     q.awaitTermination()
     assert {(r["file"], r["diagnostics"]) for r in spark.table("diag_now").collect()} == {("a", "y"), ("b", "z")}
     assert os.path.isdir(root)
+
+
+def test_git_versions(spark):
+    import subprocess
+
+    root = tempfile.mkdtemp(prefix="factloom-test-")
+    git = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    put = lambda body: open(os.path.join(root, "a.ts"), "w").write(body)
+    git("init", "-b", "main")
+    put("export const a = 1;\n")
+    git("add", "-A"), git("commit", "-m", "one")
+    git("checkout", "-b", "work")
+    put("export const b = 1;\n")
+    git("commit", "-am", "two")
+    base = src.merge_base(root)
+    old, new = src.read_git_version(spark, root, base), src.read_git_version(spark, root, "HEAD", "head")
+    assert [r["text"] for r in old.collect()] == ["export const a = 1;"]
+    assert {tuple(r) for r in src.changed_files(old, new).collect()} == {("a.ts", "modified")}
+    assert src.merge_base(root, "no-such-branch") is not None
