@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,18 +36,21 @@ def build_session(app_name: str = "factloom", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make a local one only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-ckpt-"))
-    else:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it; a local one only where none is named on a local master."""
+    conf = spark.sparkContext.getConf()
+    shared = spark.sparkContext.getCheckpointDir() or conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.startswith("local"):
+        shared = tempfile.mkdtemp(prefix="factloom-shared-")
+        spark.sparkContext.setCheckpointDir(shared)
+    if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    return shared
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -55,6 +59,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a table written once to the shared folder: columnar, with sizes Spark can plan by, safe from lost executors."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 SPREAD_BELOW = 64
 
 
