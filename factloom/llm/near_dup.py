@@ -1,16 +1,18 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
-1. One pass gives each document the size and digest of its shingle set and the k smallest hashes of it. Documents of equal
+1. One pass gives each document the size and digest of its shingle set and the 48 smallest hashes of it. Documents of equal
    sets form one class, whose smallest id stands for it; copies are never paired.
 2. The retained values of the classes are inverted lists. A class is listed under its rarest values only: two sets of enough
    likeness share so many retained values that they must meet under one of these (prefix principle), while a passage that many
    documents share is not among the rarest values of any but those it makes up.
-3. Lists are joined to their smallest member first, which is linear in their length. Only members that this left in different
+3. Classes that meet any other get a sketch of 1,024 values, which for most is the whole set, and finer lists from it.
+4. Lists are joined to their most central member first, which is linear in their length. Only members that this left in different
    components are paired with each other.
-4. A pair whose union sketch estimates too small a likeness goes; the rest is confirmed on the full shingle sets.
+5. A pair whose union sketch estimates too small a likeness goes; the rest is confirmed on the full shingle sets.
 
-KEPT = 48 values; the overlap and the estimate that are asked for lie six standard deviations under what a pair at the
-threshold has on average, so that such a pair is lost with a probability of about 3e-7, and any nearer pair with a smaller one.
+Of cut sets, the overlap and the estimate that are asked for lie six standard deviations under what a pair at the threshold
+has on average: such a pair is lost with a probability of about 3e-7, any nearer pair with a smaller one. For whole sets both
+are exact.
 
 Defined cases: a null text counts as an empty one; a text without words has size 0 and is linked with nothing; a row without
 id gets component null, is kept and linked with nothing; rows that repeat an id are grouped by their own texts each.
@@ -31,6 +33,7 @@ from factloom.llm.components import components
 from factloom.session import stored
 
 KEPT = 48
+FINE = 1024
 LIKE = 75
 
 
@@ -52,26 +55,31 @@ def sketches(docs: DataFrame, kept: int = KEPT, shingle: int = SHINGLE) -> DataF
     return docs.mapInArrow(run, "doc_id long, n long, set_id binary, sketch array<long>")
 
 
-def _least_overlap(size: Column, like: int, kept: int) -> Column:
+def _least_overlap(size: Column, share: float, like: int, kept: int) -> Column:
     """Retained values that a set shares with any partner of enough likeness. Whole sets: exact; cut ones: six deviations."""
-    share = like / 100
-    sampled = F.floor(size * share - 6 * F.sqrt(size * share * (1 - share)))
+    cut = like / 100
+    sampled = F.floor(size * cut - 6 * F.sqrt(size * cut * (1 - cut)))
     exact = F.ceil(size * share - 1e-9)
-    return F.greatest(F.lit(1), F.when(size <= int(kept * share), exact).otherwise(sampled)).cast("int")
+    return F.greatest(F.lit(1), F.when(size <= int(kept * cut), exact).otherwise(sampled)).cast("int")
 
 
 def rare_postings(classes: DataFrame, like: int = LIKE, kept: int = KEPT) -> DataFrame:
-    """(value, rep, n): each class under the rarest of its retained values, as many as the prefix principle asks for.
+    """(value, rep, n, center, small): each class under the rarest of its retained values, as many as the prefix principle asks for.
 
-    Values of one class only take the first places and need no list.
+    A set shares at least like % of itself with a partner, and 2 like / (100 + like) of itself with one that isn't smaller;
+    small marks the values that the second, shorter prefix holds. Values of one class only take the first places and need no
+    list. center is the mean length of the lists a class would be in: it is highest for the text that others were made from.
     """
     values = classes.select("rep", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     often = classes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     shared = values.join(often, "value").groupBy("rep").agg(
-        F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
-    room = F.col("size") - _least_overlap(F.col("size"), like, kept) + 1 - (F.col("size") - F.size("shared"))
-    return shared.withColumn("room", room.cast("int")).filter("room > 0").select(
-        "rep", "n", F.explode(F.expr("slice(shared, 1, room).value")).alias("value"))
+        F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"),
+        (F.sum("df") / F.first("size")).alias("center"))
+    room = {name: (F.size("shared") + 1 - _least_overlap(F.col("size"), share, like, kept)).cast("int")
+            for name, share in (("room", like / 100), ("small_room", 2 * like / (100 + like)))}
+    return shared.withColumns(room).filter("room > 0").select(
+        "rep", "n", "center", "small_room", F.posexplode(F.expr("slice(shared, 1, room).value")).alias("place", "value")
+    ).select("value", "rep", "n", "center", (F.col("place") < F.col("small_room")).alias("small"))
 
 
 def _like_sizes(like: int) -> Column:
@@ -112,37 +120,43 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, like: int, shingle: int) -> D
 
 
 def _hub_pairs(postings: DataFrame, like: int) -> DataFrame:
-    """Each list's smallest member with its others: one pair a posting at most, whatever the list's length."""
-    hubs = postings.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("hub"))
-    return postings.join(hubs, "value").select(
-        F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b")
-    ).filter("a < b").filter(_like_sizes(like)).select("a", "b").distinct()
+    """Each list's most central member with its others: one pair a posting at most, whatever the list's length."""
+    hubs = postings.groupBy("value").agg(F.max(F.struct("center", "rep", "n")).alias("hub"))
+    pairs = postings.join(hubs, "value").filter("rep <> hub.rep").withColumns({"n_a": F.col("hub.n"), "n_b": F.col("n")})
+    return _unordered(pairs.filter(_like_sizes(like)), "hub.rep", "rep")
+
+
+def _unordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
 def _open_pairs(postings: DataFrame, labels: DataFrame, tested: DataFrame, like: int) -> DataFrame:
     """Members of one list that lie in different components and weren't compared yet."""
     marked = postings.join(labels, F.col("rep") == F.col("node"), "left").select(
-        "value", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        "value", "rep", "n", "small", F.coalesce("component", "rep").alias("component"))
     open_lists = marked.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     rows = marked.join(open_lists.select("value"), "value")
-    other = rows.select("value", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component")])
-    pairs = rows.withColumnRenamed("n", "n_a").join(other, "value").filter("rep < rep_b and component <> component_b").filter(_like_sizes(like))
-    return pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    x = rows.filter("small").select("value", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component")])
+    y = rows.select("value", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component")])
+    pairs = x.join(y, "value").filter("component_a <> component_b and (n_a, rep_a) < (n_b, rep_b)").filter(_like_sizes(like))
+    return _unordered(pairs, "rep_a", "rep_b").join(tested, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: int = LIKE, kept: int = KEPT,
-                    shingle: int = SHINGLE) -> DataFrame:
+                    fine: int = FINE, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     rows = keyed(docs, id_col, text_col)
     own = stored(sketches(rows, kept, shingle), "sketches")
     linked = own.filter("doc_id is not null and n > 0")
     classes = stored(linked.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    postings = stored(rare_postings(classes, like, kept), "postings")
-    texts = stored(rows.join(postings.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    met = rare_postings(classes, like, kept).select(F.col("rep").alias("doc_id")).distinct()
+    texts = stored(rows.join(met, "doc_id", "left_semi"), "texts")
+    finer = stored(sketches(texts, fine, shingle).select(F.col("doc_id").alias("rep"), "n", "sketch"), "sketches")
+    postings = stored(rare_postings(finer, like, fine), "postings")
 
     tested = stored(_hub_pairs(postings, like), "pairs")
-    links = stored(_confirmed(_estimated(tested, classes, like, kept), texts, like, shingle), "links")
-    more = _confirmed(_estimated(_open_pairs(postings, components(links), tested, like), classes, like, kept), texts, like, shingle)
+    links = stored(_confirmed(_estimated(tested, finer, like, fine), texts, like, shingle), "links")
+    more = _confirmed(_estimated(_open_pairs(postings, components(links), tested, like), finer, like, fine), texts, like, shingle)
     labels = components(links.unionByName(stored(more, "links")))
 
     by_set = classes.select("set_id", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(
