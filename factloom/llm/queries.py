@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, near_dup, token_counts
+from factloom.llm import bpe, fingerprints, near_dup, token_counts
 from factloom.session import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,8 @@ links AS MATERIALIZED (
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, d.doc_id = m AS kept
 FROM documents d JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = d.doc_id LEFT JOIN size USING (doc_id)"""
+
+
+@query
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(scan(spark, sf_dir, "documents"))
