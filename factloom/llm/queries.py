@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, fingerprints, near_dup, token_counts
+from factloom.llm import bpe, fingerprints, near_dup, quality_rules, secret_scan, token_counts
 from factloom.session import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,40 @@ FROM documents d JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = d.doc
 @query
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(scan(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"))
+
+
+_GRID = ", ".join(map(str, quality_rules.GRID))
+_RULES = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {e} AS ratio FROM good" for r, e in quality_rules.RULES.items())
+_CUT = ", ".join(f"min(cutoff) FILTER (rule = '{r}') AS {r}" for r in quality_rules.RULES)
+_OVER = " OR ".join(f"coalesce({e} > c.{r}, false)" for r, e in quality_rules.RULES.items())
+_TESTS = (len(quality_rules.BANDS) + 1) * len(quality_rules.RULES) * len(quality_rules.GRID)
+_BAND = " + ".join(f"(n_words >= {b})::INT" for b in quality_rules.BANDS)
+_A = quality_rules.FALSE_REJECTION
+ORACLES["op4_quality_rules"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, w[p] AS a, w[p + 1] AS b, w[p + 2] AS c FROM t, unnest(range(1, len(w) - 1)) AS u(p)),
+hit AS (SELECT doc_id, p FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM hit, unnest([0, 1, 2]) AS v(k) GROUP BY doc_id),
+m AS MATERIALIZED (SELECT t.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')))
+    - len(list_distinct(list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS n_capitals,
+  length(regexp_replace(x, '[^!]', '', 'g')) AS n_exclamations FROM t LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_BAND} AS stratum FROM m),
+good AS (SELECT b.* FROM b JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+tested AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (ratio > cutoff) AS k FROM ({_RULES}), unnest([{_GRID}]) AS g(cutoff) GROUP BY ALL),
+cuts AS (SELECT stratum, {_CUT} FROM tested WHERE k < n * {_A} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1)
+  - lgamma(n - i + 1) + i * ln({_A}) + (n - i) * ln(1 - {_A})))) <= {quality_rules.ERROR} / {_TESTS} GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_OVER}) AS kept
+FROM b LEFT JOIN cuts c USING (stratum)"""
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(scan(spark, sf_dir, "documents"))
