@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, fingerprints, near_dup, quality_rules, secret_scan, token_counts
+from factloom.llm import bpe, fingerprints, lm_score, mixing, near_dup, quality_rules, secret_scan, token_counts
 from factloom.session import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,55 @@ FROM b LEFT JOIN cuts c USING (stratum)"""
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(scan(spark, sf_dir, "documents"))
+
+
+@query
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(scan(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_temperature_mixing"] = rf"""
+WITH RECURSIVE c AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+  md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s AS MATERIALIZED (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM c GROUP BY source HAVING sum(n_tokens) > 0),
+x AS (SELECT max(tokens) AS most, min(tokens) AS least, count(*) AS k FROM s),
+p AS (SELECT list(ln(tokens) - ln(most)) AS l, any_value(k) AS k FROM s, x),
+bis AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid, ln(list_sum(list_transform(l, lambda v: exp((lo + hi) / 2 * v))))
+      - (lo + hi) / 2 * list_sum(list_transform(l, lambda v: exp((lo + hi) / 2 * v) * v)) / list_sum(list_transform(l, lambda v: exp((lo + hi) / 2 * v)))
+      >= {mixing.TARGET_ENTROPY} * ln(k) AS ok FROM bis, p WHERE i < 40)),
+t AS (SELECT CASE WHEN most = least THEN 1.0 ELSE greatest(0.0, 1 - ln({mixing.REPETITION_LIMIT}) / ln(most / least),
+  (SELECT CASE WHEN ln(list_sum(list_transform(l, lambda v: exp(v)))) - list_sum(list_transform(l, lambda v: exp(v) * v)) / list_sum(list_transform(l, lambda v: exp(v)))
+     >= {mixing.TARGET_ENTROPY} * ln(k) THEN 1.0 ELSE (SELECT max(lo) FROM bis) END FROM p)) END AS t, most FROM x),
+plan AS (SELECT source, tokens, floor(tokens ** t * most ** (1 - t) / tokens + 1e-9)::BIGINT AS epochs, tokens ** t * most ** (1 - t) AS granted FROM s, t),
+part AS (SELECT c.*, coalesce(epochs, 1) AS epochs, coalesce(granted - epochs * tokens, 0) AS rest,
+  sum(n_tokens) OVER (PARTITION BY c.source ORDER BY key) - n_tokens AS before FROM c LEFT JOIN plan ON c.source IS NOT DISTINCT FROM plan.source)
+SELECT doc_id, source, n_tokens, e AS epoch, substr(md5('{mixing.SEED}:' || e || ':' || coalesce(doc_id::VARCHAR, '')), 1, {mixing.BLOCK_DIGITS}) AS block
+FROM part, unnest(range(0, epochs + (before < rest)::INT)) AS u(e)"""
+
+
+@query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(scan(spark, sf_dir, "documents"))
+
+
+_D = lm_score.DISCOUNT
+#: crc32 of a doc_id, from the table of the eight-fold shift of the polynomial; DuckDB has no crc32 of its own.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+  lambda crc, b: xor(crc >> 8, list_reduce(list_prepend(xor(crc, b) & 255, list_transform(range(0, 8), lambda j: j::BIGINT)),
+    lambda v, j: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)))"""
+ORACLES["op8_lm_score"] = rf"""
+WITH t AS MATERIALIZED (SELECT doc_id, xor({_CRC}, 4294967295::BIGINT) % 5 = 1 AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end') AS w FROM documents),
+tok AS MATERIALIZED (SELECT doc_id, held_out, w[i] AS w, CASE WHEN i = 1 THEN ' begin' ELSE w[i - 1] END AS h FROM t, unnest(range(1, len(w) + 1)) AS u(i)),
+u AS MATERIALIZED (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w),
+a AS (SELECT sum(c)::BIGINT AS n, count(*) AS v, sum(c) FILTER (w = ' end') AS texts FROM u),
+arc AS MATERIALIZED (SELECT h, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY h, w HAVING count(*) >= 2 AND count(*) >= {lm_score.ARC_SHARE} * (SELECT n FROM a)),
+est AS MATERIALIZED (SELECT arc.h, arc.w, (arc.c - {_D}) / coalesce(hu.c, texts) AS p, (wu.c + 0.5) / (n + 0.5 * (v + 1)) AS q
+  FROM arc JOIN u wu ON wu.w = arc.w LEFT JOIN u hu ON hu.w = arc.h, a),
+fail AS (SELECT h, log10(greatest(1 - sum(p), 1e-12) / greatest(1 - sum(q), 1e-12)) AS f FROM est GROUP BY h)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(u.c) AS n_known, any_value(n) AS train_tokens,
+  round(sum(log10((coalesce(u.c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 9) AS base_score,
+  round(sum(coalesce(log10(e.p), coalesce(f, 0) + log10((coalesce(u.c, 0) + 0.5) / (n + 0.5 * (v + 1))))), 9) AS score
+FROM tok LEFT JOIN u USING (w) LEFT JOIN est e ON e.h = tok.h AND e.w = tok.w LEFT JOIN fail ON fail.h = tok.h, a GROUP BY doc_id"""
