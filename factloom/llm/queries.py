@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, fingerprints, lm_score, mixing, near_dup, quality_rules, secret_scan, token_counts
+from factloom.llm import (
+    bpe,
+    fingerprints,
+    lm_score,
+    mixing,
+    near_dup,
+    quality_rules,
+    secret_scan,
+    subword_classifier,
+    token_counts,
+    toxicity,
+)
 from factloom.session import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +159,13 @@ SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(u.c)
   round(sum(log10((coalesce(u.c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 9) AS base_score,
   round(sum(coalesce(log10(e.p), coalesce(f, 0) + log10((coalesce(u.c, 0) + 0.5) / (n + 0.5 * (v + 1))))), 9) AS score
 FROM tok LEFT JOIN u USING (w) LEFT JOIN est e ON e.h = tok.h AND e.w = tok.w LEFT JOIN fail ON fail.h = tok.h, a GROUP BY doc_id"""
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_classifier.quality_scores(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"))
