@@ -38,8 +38,6 @@ DISTANCES = np.arange(1, 10)
 HELD_OUT = (3, 1)
 CUTOFF = 0.7
 _PLAIN = np.where(_SEPARATOR, 32, _LOWER).astype(np.uint8)
-_HOW = zstandard.ZstdCompressionParameters(window_log=15, hash_log=14, chain_log=14, search_log=3, min_match=4, target_length=16,
-                                           strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
 
 
 def windows(column: pa.Array) -> tuple[list[bytes], np.ndarray]:
@@ -90,9 +88,11 @@ def build_dictionaries(texts: list[bytes], labels: list[int]) -> tuple[bytes, by
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    how = zstandard.ZstdCompressionParameters(window_log=15, hash_log=14, chain_log=14, search_log=3, min_match=4, target_length=16,
+                                              strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    held.precompute_compress(compression_params=_HOW)
-    return zstandard.ZstdCompressor(dict_data=held, compression_params=_HOW)
+    held.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
 
 class Distances:
