@@ -7,7 +7,7 @@
    documents share is not among the rarest values of any but those it makes up.
 3. Classes that meet any other get a sketch of 1,024 values, which for most is the whole set, and finer lists from it.
 4. Lists are joined to their most central member first, which is linear in their length. Only members that this left in different
-   components are paired with each other.
+   components are paired with each other: in short lists directly, in long ones by what they differ in from that member.
 5. A pair whose union sketch estimates too small a likeness goes; the rest is confirmed on the full shingle sets.
 
 Of cut sets, the overlap and the estimate that are asked for lie six standard deviations under what a pair at the threshold
@@ -34,6 +34,7 @@ from factloom.session import stored
 
 KEPT = 48
 FINE = 1024
+SHORT = 16
 LIKE = 75
 
 
@@ -119,9 +120,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, like: int, shingle: int) -> D
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _hub_pairs(postings: DataFrame, like: int) -> DataFrame:
-    """Each list's most central member with its others: one pair a posting at most, whatever the list's length."""
-    hubs = postings.groupBy("value").agg(F.max(F.struct("center", "rep", "n")).alias("hub"))
+def _hubs(postings: DataFrame) -> DataFrame:
+    """Each list's most central member."""
+    return postings.groupBy("value").agg(F.max(F.struct("center", "rep", "n")).alias("hub"))
+
+
+def _hub_pairs(postings: DataFrame, hubs: DataFrame, like: int) -> DataFrame:
+    """Each list's hub with the others: one pair a posting at most, whatever the list's length."""
     pairs = postings.join(hubs, "value").filter("rep <> hub.rep").withColumns({"n_a": F.col("hub.n"), "n_b": F.col("n")})
     return _unordered(pairs.filter(_like_sizes(like)), "hub.rep", "rep")
 
@@ -130,16 +135,66 @@ def _unordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _open_pairs(postings: DataFrame, labels: DataFrame, tested: DataFrame, like: int) -> DataFrame:
-    """Members of one list that lie in different components and weren't compared yet."""
+def _cross_pairs(x: DataFrame, y: DataFrame, like: int) -> DataFrame:
+    """Pairs of one list in different components, the smaller set from x."""
+    x, y = (side.select("value", *[F.col(c).alias(f"{c}_{n}") for c in ("rep", "n", "component")]) for side, n in ((x, "a"), (y, "b")))
+    pairs = x.join(y, "value").filter("component_a <> component_b and (n_a, rep_a) < (n_b, rep_b)").filter(_like_sizes(like))
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+
+
+def _hub_differences(members: DataFrame, sets: DataFrame, like: int) -> DataFrame:
+    """(hub, token, rep, n, component, d, linked, after): members of long lists under the rarest of their differences from the hub.
+
+    A difference is a hash that only the member has, or the complement of one that only the hub has. Two members differ by
+    |X| + |Y| - 2 |X & Y| of their differences X and Y, and may differ by (n_x + n_y) / 7 at a likeness of 75 %: so a pair of
+    which one isn't linked to the hub shares at least half of the other's differences, about, and the prefix principle holds
+    again. Pairs linked to the hub both are in one component already. d counts a member's differences, after those that follow
+    in its order: with what follows their first common one, two members must still be able to share enough.
+    """
+    may = (100 - like) / (100 + like)
+    one = sets.select("rep", F.col("sketch").alias("own"))
+    hub = sets.select(F.col("rep").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("theirs"))
+    lost = F.transform(F.array_except("theirs", "own"), lambda v: F.bitwise_not(v))
+    apart = members.join(one, "rep").join(hub, "hub").withColumn("apart", F.concat(F.array_except("own", "theirs"), lost)).select(
+        "hub", "rep", "n", "n_hub", "component", F.size("apart").alias("d"), "apart")
+    tokens = apart.withColumn("token", F.explode("apart")).drop("apart")
+    often = tokens.groupBy("hub", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = tokens.join(often, ["hub", "token"]).groupBy("hub", "rep", "n", "n_hub", "component", "d").agg(
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared")).withColumn("linked", F.col("d") <= (F.col("n") + F.col("n_hub")) * may)
+    needed = F.when(F.col("linked"), F.ceil((F.col("d") - (F.col("n") - F.col("n_hub")) * may) / 2 - 1e-9)).otherwise(
+        F.ceil(F.col("d") - F.col("n") * (may * (1 + 100 / like)) - 1e-9))
+    room = F.size("shared") + 1 - F.greatest(needed, F.lit(1))
+    return shared.withColumn("room", room.cast("int")).filter("room > 0").select(
+        "hub", "rep", "n", "component", "d", "linked", (F.col("d") - F.size("shared")).alias("alone"),
+        F.posexplode(F.expr("slice(shared, 1, room).token")).alias("place", "token")
+    ).withColumn("after", F.col("d") - F.col("alone") - F.col("place") - 1).drop("alone", "place")
+
+
+def _open_pairs(postings: DataFrame, hubs: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, like: int, kept: int) -> DataFrame:
+    """Members of one list that lie in different components and weren't compared yet.
+
+    Short lists are enumerated, at most SHORT rows for each posting. In long ones, members are listed again by their differences
+    from the hub; sets too large to be held whole are enumerated.
+    """
     marked = postings.join(labels, F.col("rep") == F.col("node"), "left").select(
         "value", "rep", "n", "small", F.coalesce("component", "rep").alias("component"))
-    open_lists = marked.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rows = marked.join(open_lists.select("value"), "value")
-    x = rows.filter("small").select("value", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component")])
-    y = rows.select("value", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component")])
-    pairs = x.join(y, "value").filter("component_a <> component_b and (n_a, rep_a) < (n_b, rep_b)").filter(_like_sizes(like))
-    return _unordered(pairs, "rep_a", "rep_b").join(tested, ["a", "b"], "left_anti")
+    lists = marked.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low < high")
+    rows = stored(marked.join(lists.select("value", "m"), "value").join(hubs, "value").withColumn(
+        "listed", (F.col("m") > SHORT) & (F.col("hub.n") <= kept)), "members")
+    direct = rows.filter("not listed")
+    long = rows.filter("listed")
+    pairs = _cross_pairs(direct.filter("small"), direct, like)
+    pairs = pairs.unionByName(_cross_pairs(long.filter("small"), long.filter(F.col("n") > kept), like))
+
+    members = long.filter((F.col("n") <= kept) & (F.col("rep") != F.col("hub.rep"))).select(F.col("hub.rep").alias("hub"), "rep", "n", "component").distinct()
+    apart = stored(_hub_differences(members, sets, like), "differences")
+    x, y = (side.select("hub", "token", *[F.col(c).alias(f"{c}_{n}") for c in ("rep", "n", "component", "d", "linked", "after")])
+            for side, n in ((apart.filter("not linked"), "a"), (apart, "b")))
+    may = (100 - like) / (100 + like)
+    more = x.join(y, ["hub", "token"]).filter("component_a <> component_b and (linked_b or rep_a < rep_b)").filter(_like_sizes(like)).filter(
+        F.col("d_a") + F.col("d_b") - (F.col("n_a") + F.col("n_b")) * may <= 2 * (1 + F.least("after_a", "after_b")) + 1e-6)
+    pairs = pairs.unionByName(more.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")))
+    return stored(pairs.distinct(), "pairs").join(tested, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: int = LIKE, kept: int = KEPT,
@@ -154,9 +209,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     finer = stored(sketches(texts, fine, shingle).select(F.col("doc_id").alias("rep"), "n", "sketch"), "sketches")
     postings = stored(rare_postings(finer, like, fine), "postings")
 
-    tested = stored(_hub_pairs(postings, like), "pairs")
+    hubs = stored(_hubs(postings), "hubs")
+    tested = stored(_hub_pairs(postings, hubs, like), "pairs")
     links = stored(_confirmed(_estimated(tested, finer, like, fine), texts, like, shingle), "links")
-    more = _confirmed(_estimated(_open_pairs(postings, components(links), tested, like), finer, like, fine), texts, like, shingle)
+    open_pairs = _open_pairs(postings, hubs, components(links), tested, finer, like, fine)
+    more = _confirmed(_estimated(open_pairs, finer, like, fine), texts, like, shingle)
     labels = components(links.unionByName(stored(more, "links")))
 
     by_set = classes.select("set_id", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(
