@@ -27,6 +27,9 @@ from factloom.llm.common import chunks, keyed
 MEMO_ENTRIES = 300_000
 PIECES_AT_ONCE = 200_000
 _LOW = 0xFFFFFFFF
+_ALL = 0xFFFFFFFFFFFFFFFF
+_SEED = 0x9E3779B97F4A7C15
+_SPREAD = 0xD6E8FEB86659FD93
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,7 +39,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class PerfectHash:
-    """Minimal perfect hash: n keys on n slots. Keys fall into small buckets; each bucket stores the displacement that sends its
+    """Minimal perfect hash: n keys on n slots. Keys fall into small buckets; each bucket stores the seed that sends its
     keys to free slots, and a bucket of one key stores its slot."""
 
     def __init__(self, keys: list[bytes], bucket_size: int = 4):
@@ -52,11 +55,11 @@ class PerfectHash:
             own = groups[b]
             if len(own) < 2:
                 break
-            high = np.array([hashes[i] >> 32 for i in own], np.uint64)[:, None]
-            low = np.array([hashes[i] & _LOW | 1 for i in own], np.uint64)[:, None]
+            held = np.array([hashes[i] for i in own], np.uint64)[:, None]
             d = 0
             while True:
-                slots = ((high + low * np.arange(d, d + 256, dtype=np.uint64)) % np.uint64(self.n)).astype(np.int64)
+                seeds = np.arange(d, d + 256, dtype=np.uint64) * np.uint64(_SEED)
+                slots = (((held ^ seeds) * np.uint64(_SPREAD) >> np.uint64(32)) % np.uint64(self.n)).astype(np.int64)
                 good = free[slots].all(axis=0)
                 for c in np.flatnonzero(good):
                     if len(set(slots[:, c].tolist())) == len(own):
@@ -81,7 +84,7 @@ class PerfectHash:
         """The slot of a key of the set; for any other bytes, some slot."""
         h = xxhash.xxh64_intdigest(key)
         d = self.shift[h % self.buckets]
-        return -d - 1 if d < 0 else ((h >> 32) + (h & _LOW | 1) * d) % self.n
+        return -d - 1 if d < 0 else (((h ^ d * _SEED & _ALL) * _SPREAD & _ALL) >> 32) % self.n
 
 
 class Vocabulary:

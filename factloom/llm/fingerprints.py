@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import SHINGLE, chunks, keyed, shingle_sets
 
 ONE_IN = 8
+RANGES_A_TASK = 4
 
 
 def _retained(column: pa.Array, one_in: int, shingle: int) -> tuple[list[np.ndarray], list[str], list[int]]:
@@ -113,7 +114,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = keyed(docs, id_col, text_col)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds, heads = _ranges(rows.select("doc_id"), n)
+    bounds, heads = _ranges(rows.select("doc_id"), RANGES_A_TASK * n)
     present = sorted(heads)
     before = {heads[r]: present[(i + 1) % len(present)] for i, r in enumerate(present)}  # where a range's first row is the next one
 

@@ -89,6 +89,10 @@ def _listed(spans, kinds: int | None = None):
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def _of_kind(kind: int):
+    return lambda s: s["kind"] == kind
+
+
 def scan_secrets(docs: DataFrame, many_owners: int = MANY_OWNERS, **columns: str) -> DataFrame:
     """doc_id, counts by base kind, base_sha256, spans (base and added), n_live and live_spans (not widely copied) of each row."""
     found = stored(findings(docs, **columns).withColumn("row", F.monotonically_increasing_id()), "findings")
@@ -98,7 +102,7 @@ def scan_secrets(docs: DataFrame, many_owners: int = MANY_OWNERS, **columns: str
     rows = found.select("row", "doc_id").join(marked, "row", "left").withColumn(
         "marked", F.coalesce("marked", F.array().cast("array<struct<start: bigint, kind: int, end: bigint, live: boolean>>")))
     kept = F.filter("marked", lambda s: (s["kind"] < 3) | s["live"])
-    count = {f"n_{k}": F.size(F.filter("marked", lambda s, i=i: s["kind"] == i)).cast("long") for i, k in enumerate(KINDS[:3])}
+    count = {f"n_{k}": F.size(F.filter("marked", _of_kind(i))).cast("long") for i, k in enumerate(KINDS[:3])}
     live = F.filter("marked", lambda s: s["live"])
     return rows.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(_listed(F.col("marked"), 3), 256).alias("base_sha256"),
                        _listed(kept).alias("spans"), F.size(live).cast("long").alias("n_live"), _listed(live).alias("live_spans"))
