@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import paths
 from factloom.operators import diff, facts, graph, patterns, ranking, structural, workflows
+from factloom.plans import advice
 from factloom.plans import find_code as fc
 from factloom.sources import files as src
 from factloom.tables import corpus
@@ -339,15 +340,15 @@ def rename_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIFF = f"""
 WITH d AS (
  SELECT c_custkey AS k, {CFILE} AS file, unnest(CASE c_custkey % 10
-  WHEN 0 THEN [{{'name': 'Customer' || c_custkey || 'Info', 'kind': 'removed', 'risk': 'breaking', 'reason': 'Export "Customer' || c_custkey || 'Info" (interface) was removed'}}]
-  WHEN 1 THEN [{{'name': 'customer' || c_custkey, 'kind': 'param_required', 'risk': 'breaking', 'reason': 'New required parameter "region"'}}]
-  WHEN 2 THEN [{{'name': 'customer' || c_custkey, 'kind': 'return_type_changed', 'risk': 'risky', 'reason': 'Return type changed from "number" to "string"'}}]
-  WHEN 3 THEN [{{'name': 'Level' || c_custkey, 'kind': 'enum_member_added', 'risk': 'risky', 'reason': 'Enum member "Extra" added — exhaustive handling may be incomplete'}}]
-  WHEN 4 THEN [{{'name': 'Level' || c_custkey, 'kind': 'enum_member_removed', 'risk': 'breaking', 'reason': 'Enum member "High" removed'}}]
-  WHEN 5 THEN [{{'name': 'extra' || c_custkey, 'kind': 'added', 'risk': 'safe', 'reason': 'New export "extra' || c_custkey || '" (const)'}}]
-  WHEN 6 THEN [{{'name': 'customer' || c_custkey, 'kind': 'param_required', 'risk': 'breaking', 'reason': 'Parameter "priority" became required (was optional)'}}]
-  WHEN 7 THEN [{{'name': 'customer' || c_custkey, 'kind': 'param_added', 'risk': 'safe', 'reason': 'New optional parameter "note"'}}]
-  WHEN 8 THEN [{{'name': 'Customer' || c_custkey || 'Info', 'kind': 'interface_shape_changed', 'risk': 'breaking', 'reason': 'Required interface property "vip" added — breaking for existing implementations'}}]
+  WHEN 0 THEN [{{'name': 'Customer' || c_custkey || 'Info', 'kind': 'removed', 'risk': 'breaking', 'reason': 'export "Customer' || c_custkey || 'Info" (interface) is gone'}}]
+  WHEN 1 THEN [{{'name': 'customer' || c_custkey, 'kind': 'param_required', 'risk': 'breaking', 'reason': 'parameter "region" is new and must be passed'}}]
+  WHEN 2 THEN [{{'name': 'customer' || c_custkey, 'kind': 'return_type_changed', 'risk': 'risky', 'reason': 'returned "number" before, now "string"'}}]
+  WHEN 3 THEN [{{'name': 'Level' || c_custkey, 'kind': 'enum_member_added', 'risk': 'risky', 'reason': 'enum value "Extra" is new; switches may miss it'}}]
+  WHEN 4 THEN [{{'name': 'Level' || c_custkey, 'kind': 'enum_member_removed', 'risk': 'breaking', 'reason': 'enum value "High" is gone'}}]
+  WHEN 5 THEN [{{'name': 'extra' || c_custkey, 'kind': 'added', 'risk': 'safe', 'reason': 'export "extra' || c_custkey || '" (const) is new'}}]
+  WHEN 6 THEN [{{'name': 'customer' || c_custkey, 'kind': 'param_required', 'risk': 'breaking', 'reason': 'parameter "priority" must now be passed'}}]
+  WHEN 7 THEN [{{'name': 'customer' || c_custkey, 'kind': 'param_added', 'risk': 'safe', 'reason': 'parameter "note" is new and optional'}}]
+  WHEN 8 THEN [{{'name': 'Customer' || c_custkey || 'Info', 'kind': 'interface_shape_changed', 'risk': 'breaking', 'reason': 'property "vip" is new and must be set'}}]
   ELSE [] END, recursive := true) FROM customer)
 """
 
@@ -395,15 +396,15 @@ def api_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.api_summary(guard_entries(spark, sf_dir)[0])
 
 
-@query(_DIFF + """SELECT file, name, array_to_string(CASE kind
- WHEN 'removed' THEN ['Remove all imports of `' || name || '` — it no longer exists', 'Find replacement or implement the functionality at each call site']
- WHEN 'param_required' THEN ['Add the required `' || regexp_extract(reason, '"([^"]+)"', 1) || '` argument to all callers of `' || name || '`', 'Search for `' || name || '(` to find call sites needing updates']
- WHEN 'param_added' THEN ['No immediate action required — new parameter is optional', 'Callers can opt in to the new `param: note` parameter as needed']
- WHEN 'return_type_changed' THEN ['Check all code that assigns or destructures the return value of `' || name || '`', 'Update variable types or add explicit casts where needed']
- WHEN 'interface_shape_changed' THEN ['Add the required `vip` field to all objects implementing `' || name || '`']
- WHEN 'enum_member_removed' THEN ['Replace all usages of the removed `' || name || '.High` value', 'Check switch statements over `' || name || '` — some may now have dead code']
- WHEN 'enum_member_added' THEN ['Add handling for the new `' || name || '.Extra` value in exhaustive switch statements']
- ELSE ['Review all usages of `' || name || '` and update as needed'] END, ' / ') AS steps FROM d""")
+def _steps_sql() -> str:
+    """The steps of the changes above, from the table of sentences."""
+    key = "CASE WHEN kind = 'interface_shape_changed' THEN 'member_required' ELSE kind END"
+    arms = " ".join(f"WHEN '{k}' THEN {steps!r}" for k, steps in advice.STEPS.items())
+    what = "regexp_extract(reason, '\"([^\"]+)\"', 1)"
+    return f"replace(replace(array_to_string(CASE {key} {arms} ELSE {advice.OTHER_STEPS!r} END, ' / '), '{{name}}', name), '{{what}}', {what})"
+
+
+@query(_DIFF + f"SELECT file, name, {_steps_sql()} AS steps FROM d")
 def migration_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Migration advice per change (D-11)."""
     d = diff.diff_exports(*both_versions(spark, sf_dir))
@@ -544,8 +545,8 @@ def root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (risk <> 'safe' AND kind IN ('param_required', 'return_type_changed', 'param_removed')) AS signatures FROM f GROUP BY 1)
 SELECT package, changed::BIGINT AS changed, breaking::BIGINT AS breaking, risky::BIGINT AS risky, signatures::BIGINT AS signatures,
  CASE WHEN breaking > 0 OR signatures > 0 OR risky > 0 THEN 'needs-attention' ELSE 'safe' END AS verdict,
- CASE WHEN breaking > 0 OR signatures > 0 THEN concat_ws(', ', CASE WHEN breaking > 0 THEN breaking || ' breaking API change(s)' END, CASE WHEN signatures > 0 THEN signatures || ' signature change(s)' END)
-      WHEN risky > 0 THEN risky || ' risky change(s) — recommend review before release' ELSE 'No errors, no breaking changes, no type risks detected' END AS verdict_reason FROM s""")
+ CASE WHEN breaking > 0 OR signatures > 0 THEN concat_ws(', ', CASE WHEN breaking > 0 THEN breaking || ' breaking change(s)' END, CASE WHEN signatures > 0 THEN signatures || ' changed signature(s)' END)
+      WHEN risky > 0 THEN risky || ' risky change(s) to review' ELSE 'nothing found against it' END AS verdict_reason FROM s""")
 def verify_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict per package for the edited snapshot (T-30)."""
     entries, refs, t = guard_entries(spark, sf_dir)

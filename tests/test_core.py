@@ -179,7 +179,7 @@ def test_hints_and_next_steps(spark):
     assert [r["hint"] for r in workflows.cause_hints(d).collect()] == ["react-prop-type-mismatch", None]
     step = spark.createDataFrame([("param_required: pay", "a.ts"), (None, "b.ts")], "x string, f string").select(
         workflows.next_step(F.col("x"), F.col("f")).alias("s")).collect()
-    assert step[0]["s"].startswith("Find all callers of `pay`") and step[1]["s"].startswith("Run impact_trace on b.ts")
+    assert step[0]["s"] == "Callers of `pay` may lack an argument" and step[1]["s"] == "Trace the impact of b.ts"
 
 
 def test_latest_diagnostics_stream(spark):
