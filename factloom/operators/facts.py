@@ -260,7 +260,7 @@ def shapes(tokens: DataFrame) -> DataFrame:
         .when(is_fn & c("word").isin("const", "let", "var"), F.concat(
             F.lit("const "), c("name"), F.lit(" = ("), plist, F.lit(") => "), F.coalesce("ret", F.lit("..."))))
         .when(is_fn, F.concat(F.lit("function "), c("name"), F.lit("("), plist, F.lit("): "), F.coalesce("ret", F.lit("unknown"))))
-        .when(c("word") == "type", F.concat(F.lit("type "), c("name"), F.lit(" = "), F.substring(F.coalesce("ann", F.lit("")), 1, 100)))
+        .when(c("word") == "type", F.concat(F.lit("type "), c("name"), F.lit(" = "), F.coalesce("ann", F.lit(""))))
         .when(c("word").isin("const", "let", "var"), F.concat(F.lit("const "), c("name"), F.lit(": "), F.coalesce("ann", F.lit("unknown"))))
         .otherwise(F.concat_ws(" ", "word", "name"))
     )

@@ -154,7 +154,7 @@ def parse_unified_diff(diff: DataFrame, body: str = "diff") -> DataFrame:
 
 def _git(root: str, *args: str) -> str | None:
     run = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=False)
-    return run.stdout.strip() if run.returncode == 0 else None
+    return run.stdout if run.returncode == 0 else None
 
 
 def merge_base(root: str, target: str | None = None) -> str | None:
@@ -162,8 +162,9 @@ def merge_base(root: str, target: str | None = None) -> str | None:
     for branch in [target] if target else ["main", "master", "develop"]:
         found = _git(root, "merge-base", "HEAD", branch)
         if found:
-            return found
-    return _git(root, "rev-parse", "HEAD~1")
+            return found.strip()
+    found = _git(root, "rev-parse", "HEAD~1")
+    return found.strip() if found else None
 
 
 def read_git_version(spark: SparkSession, root: str, ref: str, version: str = "base") -> DataFrame:

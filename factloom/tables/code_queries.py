@@ -439,9 +439,9 @@ SELECT {OFILE} AS caller_file, 'customer' || o_custkey AS callee, {_CALL} >= CAS
 def call_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every call against the arity of its target (D-4, JN-15)."""
     refs, _, _, t = resolved(spark, sf_dir)
-    arity = diff.arity_of(facts.shapes(t)).withColumnRenamed("file", "callee_file")
+    arity = diff.arity_of(facts.shapes(t))
     calls = graph.call_edges(refs).filter(F.startswith("callee", F.lit("customer")))
-    out = diff.call_compatibility(calls, arity.filter(F.startswith("callee", F.lit("customer"))).drop("callee_file"))
+    out = diff.call_compatibility(calls, arity)
     return out.select("caller_file", "callee", "compatible", "issue")
 
 
@@ -514,7 +514,7 @@ def _diagnostics(spark: SparkSession, sf_dir: str):
     head = facts.shapes(customer_tokens(spark, sf_dir, "edited"))
     enums = head.filter(c("enum_members").isNotNull()).select(c("name").alias("enum"), c("enum_members").alias("members"))
     calls = graph.call_edges(refs).filter(F.startswith("callee", F.lit("customer")))
-    diags = workflows.derive_diagnostics(calls, diff.arity_of(head).drop("file"), switches=facts.switches(t), enums=enums)
+    diags = workflows.derive_diagnostics(calls, diff.arity_of(head), switches=facts.switches(t), enums=enums)
     return diags, refs, t, head
 
 

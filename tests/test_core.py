@@ -206,6 +206,26 @@ def test_git_versions(spark):
     git("commit", "-am", "two")
     base = src.merge_base(root)
     old, new = src.read_git_version(spark, root, base), src.read_git_version(spark, root, "HEAD", "head")
-    assert [r["text"] for r in old.collect()] == ["export const a = 1;"]
+    assert [r["text"] for r in old.collect()] == ["export const a = 1;\n"]
     assert {tuple(r) for r in src.changed_files(old, new).collect()} == {("a.ts", "modified")}
     assert src.merge_base(root, "no-such-branch") is not None
+
+
+def test_calls_are_matched_by_file_and_name(spark):
+    from factloom.operators import diff
+
+    calls = spark.createDataFrame([("u.ts", "a.ts", "f", 1, 1)], "caller_file string, callee_file string, callee string, line int, arg_count int")
+    arity = spark.createDataFrame([("a.ts", "f", 1, 1), ("b.ts", "f", 0, 0)], "callee_file string, callee string, min_args int, max_args int")
+    rows = diff.call_compatibility(calls, arity).collect()
+    assert [(r.callee_file, r.compatible) for r in rows] == [("a.ts", True)]
+
+
+def test_long_alias_changes_are_seen(spark):
+    from factloom.functions import lexer
+    from factloom.operators import diff, facts
+
+    def shapes(last):
+        body = "export type Kind = " + " | ".join(f"'member_number_{i}'" for i in range(15)) + f" | '{last}';\n"
+        return facts.shapes(lexer.tokens(spark.createDataFrame([("packages/a/src/k.ts", body)], "path string, text string")))
+
+    assert diff.diff_exports(shapes("old"), shapes("new")).count() == 1
