@@ -36,6 +36,7 @@ KEPT = 48
 FINE = 1024
 SHORT = 16
 LIKE = 75
+HUB_PARTS = 128
 
 
 def sketches(docs: DataFrame, kept: int = KEPT, shingle: int = SHINGLE) -> DataFrame:
@@ -150,12 +151,16 @@ def _hub_differences(members: DataFrame, sets: DataFrame, like: int) -> DataFram
     which one isn't linked to the hub shares at least half of the other's differences, about, and the prefix principle holds
     again. Pairs linked to the hub both are in one component already. d counts a member's differences, after those that follow
     in its order: with what follows their first common one, two members must still be able to share enough.
+
+    The members of a hub are dealt to HUB_PARTS parts, and its set is copied to those of them that have members only.
     """
     may = (100 - like) / (100 + like)
     one = sets.select("rep", F.col("sketch").alias("own"))
     hub = sets.select(F.col("rep").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("theirs"))
     lost = F.transform(F.array_except("theirs", "own"), lambda v: F.bitwise_not(v))
-    apart = members.join(one, "rep").join(hub, "hub").withColumn("apart", F.concat(F.array_except("own", "theirs"), lost)).select(
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(HUB_PARTS)))
+    hub_parts = dealt.select("hub", "part").distinct().join(hub, "hub")
+    apart = dealt.join(one, "rep").join(hub_parts, ["hub", "part"]).withColumn("apart", F.concat(F.array_except("own", "theirs"), lost)).select(
         "hub", "rep", "n", "n_hub", "component", F.size("apart").alias("d"), "apart")
     tokens = apart.withColumn("token", F.explode("apart")).drop("apart")
     often = tokens.groupBy("hub", "token").agg(F.count("*").alias("df")).filter("df > 1")
