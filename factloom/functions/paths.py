@@ -21,9 +21,6 @@ TEST_FILE = "\\.(spec|test|stories)\\.(ts|tsx|js|jsx|mjs|cjs)$"
 PACKAGE_DIR = "/(packages|apps|libs|modules|services)/([^/]+)/"
 GENERATED_PATH = "/(dist|es|build|generated|__generated__|\\.cache)/"
 DEMO_PATH = "/(demo|example|storybook|stories|fixtures)/"
-MAX_FILE_BYTES = 500_000
-SCOPE_DEPTH = 8
-CONFIG_DEPTH = 4
 
 
 def _rooted(path: Column) -> Column:
@@ -39,9 +36,8 @@ def in_skipped_dir(path: Column) -> Column:
     return F.exists(dirs_of(path), lambda d: F.startswith(d, F.lit(".")) | d.isin(SKIP_DIRS))
 
 
-def is_skipped_file(path: Column, length: Column | None = None) -> Column:
-    by_name = base_name(path).rlike(SKIP_FILE)
-    return by_name if length is None else by_name | (length > MAX_FILE_BYTES)
+def is_skipped_file(path: Column) -> Column:
+    return base_name(path).rlike(SKIP_FILE)
 
 
 def _ends_with_any(path: Column, suffixes: list[str]) -> Column:

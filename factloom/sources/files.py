@@ -49,14 +49,19 @@ def with_package(files: DataFrame) -> DataFrame:
 
 
 def in_scope(files: DataFrame, roots: list[str] | None = None, include_tests: bool = False, max_files: int | None = None,
-             extensions: list[str] | None = None) -> DataFrame:
-    """Code files of a scope: folders skipped by name, depth and size limits, tests only on request.
+             extensions: list[str] | None = None, max_bytes: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """Code files of a scope: folders skipped by name, tests only on request.
 
-    ``max_files`` keeps the first files by path and is off by default: a cluster has no need for it.
+    ``max_files`` keeps the first files by path, ``max_bytes`` and ``max_depth`` leave out larger and deeper ones; all are off
+    by default: a cluster has no need for them.
     """
     p = c("path")
     length = c("length") if "length" in files.columns else F.octet_length("text")
-    keep = ~paths.in_skipped_dir(p) & ~paths.is_skipped_file(p, length) & (paths.folder_depth(p) <= paths.SCOPE_DEPTH)
+    keep = ~paths.in_skipped_dir(p) & ~paths.is_skipped_file(p)
+    if max_bytes is not None:
+        keep = keep & (length <= max_bytes)
+    if max_depth is not None:
+        keep = keep & (paths.folder_depth(p) <= max_depth)
     keep = keep & (paths._ends_with_any(p, extensions) if extensions else paths.is_code_file(p))
     if not include_tests:
         keep = keep & ~paths.is_test_file(p)

@@ -1,12 +1,15 @@
-"""Stored index: one Parquet folder per fact table and a manifest row that says what it holds."""
+"""Stored index: one Parquet folder per fact table of a version and a manifest row that names the version and what it holds."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Layout version and age limit of a stored index.
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 MAX_AGE_DAYS = 7
 
 c = F.col
@@ -20,30 +23,41 @@ def scope_fingerprint(root: str, include_tests: bool) -> str:
 
 
 def save(tables: dict[str, DataFrame], target: str, scope: str) -> None:
-    """Write every fact table, then the manifest; a reader without a manifest sees nothing."""
+    """Write every fact table to the folder of a new version, then a manifest row for it.
+
+    Manifest rows are appended and the newest one counts: a reader sees all tables of one version, the old or the new.
+    """
     spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{target}/{name}")
-    spark.range(1).select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(scope).alias("scope"),
-                          F.current_timestamp().alias("written"), F.array(*[F.lit(n) for n in tables]).alias("tables")
-                          ).write.mode("overwrite").parquet(f"{target}/_manifest")
+        df.write.parquet(f"{target}/{version}/{name}")
+    _announce(spark, target, scope, version, list(tables))
+
+
+def _announce(spark: SparkSession, target: str, scope: str, version: str, tables: list[str]) -> None:
+    names = F.array(*[F.lit(n) for n in tables]).cast("array<string>")
+    spark.range(1).select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(scope).alias("scope"), F.lit(version).alias("version"),
+                          F.current_timestamp().alias("written"), names.alias("tables")).write.mode("append").parquet(f"{target}/_manifest")
 
 
 def load(spark: SparkSession, target: str, scope: str) -> dict[str, DataFrame] | None:
-    """The stored tables if version, scope and age fit, else None."""
+    """The tables of the newest version if layout, scope and age fit, else None; errors but a missing manifest are raised."""
     try:
         manifest = spark.read.parquet(f"{target}/_manifest")
-    except Exception:  # no index at this place
-        return None
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     age = (F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("written")) / 86400
-    row = manifest.filter((c("schema_version") == SCHEMA_VERSION) & (c("scope") == scope) & (age <= MAX_AGE_DAYS)).first()
-    return {n: spark.read.parquet(f"{target}/{n}") for n in row["tables"]} if row else None
+    row = manifest.withColumn("age", age).orderBy(F.desc("written")).first()
+    if not row or row["schema_version"] != SCHEMA_VERSION or row["scope"] != scope or row["age"] > MAX_AGE_DAYS or not row["tables"]:
+        return None
+    return {n: spark.read.parquet(f"{target}/{row['version']}/{n}") for n in row["tables"]}
 
 
 def clear(spark: SparkSession, target: str) -> None:
-    """Forget a stored index: the manifest is replaced by an empty one."""
-    spark.createDataFrame([], "schema_version int, scope string, written timestamp, tables array<string>").write.mode(
-        "overwrite").parquet(f"{target}/_manifest")
+    """Forget a stored index: its newest manifest row names no tables."""
+    _announce(spark, target, "", "", [])
 
 
 def write_batch(df: DataFrame, target: str, table: str, batch_id: int) -> None:

@@ -9,8 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 from factloom.functions import lexer
 from factloom.operators import facts
 from factloom.sources import store
+from factloom.sources.configs import config_entries
 
 c = F.col
+FACTS = {"declarations": facts.declarations, "usages": facts.usages, "docs": facts.docs, "routes": facts.routes,
+         "exports": facts.exports, "shapes": facts.shapes}
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], version: Column, columns: list[str]) -> DataFrame:
@@ -44,19 +47,21 @@ def document_versions(edits: DataFrame) -> DataFrame:
 
 
 def index_stream(files: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Maintain the stored declarations and usages from a stream of file versions (path, text, mtime).
+    """Maintain the stored fact tables from a stream of file versions (path, text, mtime); a null text means the file is gone.
 
     Each micro-batch keeps the newest version per path, cuts it once and appends the facts stamped with the
     batch; readers take the newest batch per file (``store.current``). Replays rewrite the same batch folder.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         newest = batch.groupBy("path").agg(F.max_by(F.struct("text", "mtime"), "mtime").alias("s")).select("path", "s.*")
-        tokens = lexer.tokens(newest).persist()
+        live = newest.filter(c("text").isNotNull())
+        tokens = lexer.tokens(live).persist()
         try:
             marks = newest.select(c("path").alias("file"), "mtime")
             store.write_batch(marks, target, "files", batch_id)
-            store.write_batch(facts.declarations(tokens), target, "declarations", batch_id)
-            store.write_batch(facts.usages(tokens), target, "usages", batch_id)
+            for name, cut in FACTS.items():
+                store.write_batch(cut(tokens), target, name, batch_id)
+            store.write_batch(config_entries(live), target, "configs", batch_id)
         finally:
             tokens.unpersist()
 

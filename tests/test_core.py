@@ -14,6 +14,7 @@ from factloom.operators import diff, graph, patterns, ranking, workflows
 from factloom.plans import routing
 from factloom.sources import files as src
 from factloom.sources import store
+from factloom.sources.configs import config_entries
 from factloom.streaming import incremental
 
 
@@ -141,6 +142,31 @@ def test_store_and_stream(spark):
     now = {(r["file"], r["symbol"]) for r in store.current(spark, f"{root}/out", "declarations").collect()}
     assert now == {("a.ts", "three"), ("b.ts", "two")}
     assert [r["identifier"] for r in store.current(spark, f"{root}/out", "usages").collect()] == ["f"]
+    put([("b.ts", None, 3), ("app.json", '{"a": {"b": 1}}', 3)])
+    run()
+    assert [r["name"] for r in store.current(spark, f"{root}/out", "exports").collect()] == ["three"]
+    assert {r["file"] for r in store.current(spark, f"{root}/out", "declarations").collect()} == {"a.ts"}
+    assert [r["key_path"] for r in store.current(spark, f"{root}/out", "configs").collect()] == [["a", "b"]]
+
+
+def test_stored_index_has_one_version(spark):
+    root = tempfile.mkdtemp(prefix="factloom-test-")
+    store.save({"t": spark.range(3)}, root, "scope")
+    old = store.load(spark, root, "scope")
+    store.save({"t": spark.range(5), "u": spark.range(1)}, root, "scope")
+    assert old["t"].count() == 3 and store.load(spark, root, "scope")["t"].count() == 5
+    assert store.load(spark, f"{root}/none", "scope") is None
+
+
+def test_nothing_is_left_out_by_depth_or_size(spark):
+    deep = "/".join(f"d{i}" for i in range(12)) + "/m.ts"
+    nested = '{"k":' * 10 + "7" + "}" * 10
+    files = spark.createDataFrame([(deep, "export const a = 1;"), ("big.ts", "//" + "x" * 600_000), ("conf/a/b/c/d/e/x.json", nested),
+                                   ("y.json", '{"flat": [1, {"z": null}]}')], "path string, text string")
+    assert {r["path"] for r in src.in_scope(files).collect()} == {deep, "big.ts"}
+    assert src.in_scope(files, max_bytes=500_000).count() == 1 and src.in_scope(files, max_depth=8).count() == 1
+    found = {(len(r["key_path"]), r["text"].split(": ")[1]) for r in config_entries(files).collect()}
+    assert found == {(10, "7"), (2, "1")}
 
 
 def test_stale_files(spark):
