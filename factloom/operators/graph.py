@@ -126,7 +126,7 @@ def definitions(exports: DataFrame, declarations: DataFrame, bindings: DataFrame
 
 
 def references(tokens: DataFrame, bindings: DataFrame, modules: DataFrame, defs: DataFrame, declarations: DataFrame) -> DataFrame:
-    """Every use of an exported or top-level symbol: (def_file, def_symbol, file, line, col, package, is_test, is_import).
+    """Every use of an exported or top-level symbol: (def_file, def_symbol, local name, file, line, col, package, is_test, is_import).
 
     Imported names and same-file names are both joined on (file, name), so tokens move once.
     """
@@ -143,7 +143,7 @@ def references(tokens: DataFrame, bindings: DataFrame, modules: DataFrame, defs:
     ).select("file", c("text").alias("name"), "ord", "line", "col", (c("s1") == "import").alias("is_import"), "sym", "argc", "node")
     hit = ids.join(names, ["file", "name"]).filter(c("ord") != c("decl_ord"))
     return hit.select(
-        "def_file", "def_symbol", "file", "line", "col", paths.package_of(c("file")).alias("package"),
+        "def_file", "def_symbol", c("name").alias("local"), "file", "line", "col", paths.package_of(c("file")).alias("package"),
         paths.is_test_file(c("file")).alias("is_test"), F.coalesce("is_import", F.lit(False)).alias("is_import"),
         c("sym").alias("enclosing"), F.when(c("node") == "call", c("argc")).alias("argc"))
 
@@ -230,12 +230,18 @@ def inspect_symbols(shapes: DataFrame, docs: DataFrame, refs: DataFrame) -> Data
     return out.withColumn("refs", F.coalesce("refs", F.lit(0))).withColumn("files", F.coalesce("files", F.lit(0)))
 
 
-def type_definitions(names: DataFrame, type_decls: DataFrame) -> DataFrame:
-    """Declarations of the types named in ``type_text``; wrappers like Promise<T> and T[] are looked through."""
+def type_definitions(names: DataFrame, type_decls: DataFrame, refs: DataFrame) -> DataFrame:
+    """Declarations of the types named in ``type_text``; wrappers like Promise<T> and T[] are looked through.
+
+    A name means what it refers to in its own file, so types that share a name in other files are no answer.
+    """
     parts = F.array_distinct(F.regexp_extract_all("type_text", F.lit("([A-Za-z_$][\\w$]*)"), 1))
-    return names.withColumn("symbol", F.explode(parts)).join(
+    named = names.withColumn("local", F.explode(parts))
+    meant = refs.join(named.select("file", "local").distinct(), ["file", "local"], "left_semi").select(
+        "file", "local", c("def_file").alias("type_file"), c("def_symbol").alias("symbol")).distinct()
+    return named.join(meant, ["file", "local"]).drop("local").join(
         type_decls.filter(c("kind").isin("interface", "type", "class", "enum")).select(
-            "symbol", c("file").alias("type_file"), c("line").alias("type_line"), c("kind").alias("type_kind")), "symbol")
+            "symbol", c("file").alias("type_file"), c("line").alias("type_line"), c("kind").alias("type_kind")), ["type_file", "symbol"])
 
 
 def implementations(heritage: DataFrame, symbol: str) -> DataFrame:

@@ -418,9 +418,8 @@ SELECT {OFILE} AS file, 'Level' || o_custkey AS enum, CASE WHEN {PRIO} = '3' THE
 FROM orders WHERE {PRIO} IN ('3', '4')""")
 def enum_exhaustiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Switches against the members of their enum (D-6..9, JN-16)."""
-    t = both_tokens(spark, sf_dir)
-    enums = facts.shapes(t).filter(c("enum_members").isNotNull()).select(c("name").alias("enum"), c("enum_members").alias("members"))
-    out = diff.exhaustiveness(enums, facts.switches(t))
+    refs, _, _, t = resolved(spark, sf_dir)
+    out = diff.exhaustiveness(diff.enums_of(facts.shapes(t)), diff.resolve_switches(facts.switches(t), refs))
     return out.select("file", "enum", F.array_join("missing", ",").alias("missing"), "is_exhaustive")
 
 
@@ -428,9 +427,9 @@ def enum_exhaustiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'Level' || o_custkey AS enum, count(*) FILTER ({PRIO} = '3') AS affected, count(*) FILTER ({PRIO} = '4') AS safe FROM orders WHERE {PRIO} IN ('3', '4') GROUP BY 1""")
 def added_member_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Switches that would miss a new enum member (D-7, AGG-16)."""
-    t = both_tokens(spark, sf_dir)
-    enums = facts.shapes(t).filter(c("enum_members").isNotNull()).select(c("name").alias("enum"), c("enum_members").alias("members"))
-    return diff.added_member_impact(diff.exhaustiveness(enums, facts.switches(t)))
+    refs, _, _, t = resolved(spark, sf_dir)
+    results = diff.exhaustiveness(diff.enums_of(facts.shapes(t)), diff.resolve_switches(facts.switches(t), refs))
+    return diff.added_member_impact(results).drop("enum_file")
 
 
 @query(f"""
@@ -497,7 +496,7 @@ def simulate_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     recipes = made.withColumn("symbol", F.concat(F.when(F.contains("recipe", F.lit("enum")), "Level").otherwise("customer"), c("change").cast("string"))).withColumn(
         "name", F.when(c("recipe") == "remove_param", "priority").when(c("recipe") == "remove_enum_member", "High").when(
             c("recipe") == "add_enum_member", "Extra").otherwise("extra")).withColumn("type_text", F.lit("string"))
-    out = workflows.simulate_changes(shapes_, recipes, graph.call_edges(refs), facts.switches(t))
+    out = workflows.simulate_changes(shapes_, recipes, graph.call_edges(refs), diff.resolve_switches(facts.switches(t), refs))
     return out.select("symbol", "recipe", "kind", "risk", long("breaking_callers"), long("open_switches"))
 
 
@@ -512,9 +511,8 @@ def derived_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _diagnostics(spark: SparkSession, sf_dir: str):
     refs, _, _, t = resolved(spark, sf_dir)
     head = facts.shapes(customer_tokens(spark, sf_dir, "edited"))
-    enums = head.filter(c("enum_members").isNotNull()).select(c("name").alias("enum"), c("enum_members").alias("members"))
     calls = graph.call_edges(refs).filter(F.startswith("callee", F.lit("customer")))
-    diags = workflows.derive_diagnostics(calls, diff.arity_of(head), switches=facts.switches(t), enums=enums)
+    diags = workflows.derive_diagnostics(calls, diff.arity_of(head), switches=diff.resolve_switches(facts.switches(t), refs), enums=diff.enums_of(head))
     return diags, refs, t, head
 
 

@@ -14,6 +14,13 @@ def rows(df, *cols):
     return {tuple(r) if len(cols) > 1 else r[0] for r in df.select(*cols).collect()}
 
 
+def refs_of(ws, files):
+    bindings = graph.import_bindings(ws.tokens)
+    modules = graph.resolve_modules(bindings, files, src.packages(files))
+    defs = graph.definitions(ws.exports, ws.declarations, bindings, modules)
+    return graph.references(ws.tokens, bindings, modules, defs, ws.declarations)
+
+
 def test_scope_and_scan(shop_files):
     code = src.in_scope(shop_files)
     names = rows(code, "path")
@@ -133,12 +140,29 @@ def test_heritage_symbols_and_lookups(shop):
     assert rows(facts.type_guards(shop.tokens), "func_name", "guarded_type") == {("isOpen", "Status.Open")}
 
 
-def test_exhaustiveness(shop):
-    enums = shop.shapes.filter("enum_members is not null").select(F.col("name").alias("enum"), F.col("enum_members").alias("members"))
-    out = {r["line"]: r for r in diff.exhaustiveness(enums, shop.switches).collect()}
+def test_exhaustiveness(shop, shop_files):
+    switches = diff.resolve_switches(shop.switches, refs_of(shop, shop_files))
+    out = {r["line"]: r for r in diff.exhaustiveness(diff.enums_of(shop.shapes), switches).collect()}
     assert out[4]["missing"] == ["Closed"] and not out[4]["is_exhaustive"] and out[12]["is_exhaustive"]
 
 
+def test_same_names_in_two_files(spark):
+    """Two enums of one name: a switch is held against the one its file imports, under whatever name."""
+    files = spark.createDataFrame([
+        ("a/one.ts", "export enum Mode { On, Off }\n"),
+        ("a/two.ts", "export enum Mode { Read, Write }\n"),
+        ("a/use.ts", "import { Mode } from './one';\nexport function f(m: Mode) { switch (m) { case Mode.On: break; } }\n"),
+        ("a/other.ts", "import { Mode as M } from './two';\nexport function g(m: M) { switch (m) { case M.Read: break; case M.Write: break; } }\n"),
+    ], "path string, text string")
+    ws = fc.Workspace(files)
+    refs = refs_of(ws, files)
+    got = rows(diff.exhaustiveness(diff.enums_of(ws.shapes), diff.resolve_switches(ws.switches, refs)).withColumn(
+        "missing", F.array_join("missing", ",")), "file", "enum_file", "missing")
+    assert got == {("a/use.ts", "a/one.ts", "Off"), ("a/other.ts", "a/two.ts", "")}
+    params = ws.shapes.filter("params is not null").select("file", F.col("name").alias("fn"), F.inline("params")).drop("name", "optional", "rest")
+    assert rows(graph.type_definitions(params, ws.declarations, refs), "fn", "type_file") == {("f", "a/one.ts"), ("g", "a/two.ts")}
+
+
 def test_find_code_vectors(shop):
     out, route = fc.find_code(shop, "useEffect that returns a cleanup callback conditionally")
     top = out.orderBy(F.desc("score")).first()
@@ -153,26 +177,23 @@ def test_find_code_vectors(shop):
 
 
 def test_simulation_and_root_cause(spark, shop, shop_files):
-    bindings = graph.import_bindings(shop.tokens)
-    modules = graph.resolve_modules(bindings, shop_files, src.packages(shop_files))
-    defs = graph.definitions(shop.exports, shop.declarations, bindings, modules)
-    refs = graph.references(shop.tokens, bindings, modules, defs, shop.declarations)
+    refs = refs_of(shop, shop_files)
     calls = graph.call_edges(refs)
     recipes = spark.createDataFrame([
         (1, "packages/core/src/validate.ts", "checkAccess", "add_required_param", "tenant", "string"),
         (2, "packages/types/src/index.ts", "Status", "add_enum_member", "Lost", None)],
         "change int, file string, symbol string, recipe string, name string, type_text string")
-    out = {r["change"]: r for r in workflows.simulate_changes(shop.shapes, recipes, calls, shop.switches).collect()}
+    out = {r["change"]: r for r in workflows.simulate_changes(shop.shapes, recipes, calls, diff.resolve_switches(shop.switches, refs)).collect()}
     assert out[1]["kind"] == "param_required" and out[1]["risk"] == "breaking" and out[1]["breaking_callers"] >= 1
     assert out[2]["kind"] == "enum_member_added" and out[2]["open_switches"] == 1
 
 
-def test_completions_and_types(shop):
+def test_completions_and_types(shop, shop_files):
     bindings = graph.import_bindings(shop.tokens)
     got = rows(graph.completions(shop.tokens, bindings, APP + "effects.tsx", 8, "c"), "label")
     assert {"count", "createClient"} <= got
     params = shop.shapes.filter("name = 'label'").select("file", "name", F.inline("params")).toDF("file", "fn", "name", "optional", "rest", "type_text")
-    assert rows(graph.type_definitions(params, shop.declarations), "type_file", "type_kind") == {("packages/types/src/index.ts", "enum")}
+    assert rows(graph.type_definitions(params, shop.declarations, refs_of(shop, shop_files)), "type_file", "type_kind") == {("packages/types/src/index.ts", "enum")}
 
 
 def test_wrappers(shop):
