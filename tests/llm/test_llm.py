@@ -251,6 +251,17 @@ def test_lm_states_sum_to_one(spark, odd, none):
     assert lm_score.scores(none).count() == 0
 
 
+def test_lm_has_an_arc_for_every_bigram_that_occurs_twice(spark):
+    sf = "/root/testdata/sf0.01"
+    sql, share = queries.ORACLES["op8_lm_score"], f" AND count(*) >= {lm_score.ARC_SHARE} * (SELECT n FROM a)"
+    assert share in sql and lm_score.scores(spark.read.parquet(f"{sf}/documents.parquet")).first().train_tokens * lm_score.ARC_SHARE > 2
+    for heavy in (lm_score.HEAVY_SHARE, 1e-4, 2.0):  # nearly all broadcast, a part joined, all joined
+        problem, _ = compare(spark, duck(sf), lambda s, d, h=heavy: lm_score.scores(s.read.parquet(f"{d}/documents.parquet"), heavy_share=h), sql.replace(share, ""), sf)
+        assert problem is None, problem
+    problem, _ = compare(spark, duck(sf), lambda s, d: lm_score.scores(s.read.parquet(f"{d}/documents.parquet"), heavy_share=1e-4, arc_share=lm_score.ARC_SHARE), sql, sf)
+    assert problem is None, problem
+
+
 def test_fingerprints_brute_force(spark, odd, odd_rows, none):
     documents = sorted(_documents(spark), key=lambda r: -r[0])
     found = {r.doc_id: r for r in queries.op10_document_fingerprints(spark, SF).collect()}
