@@ -25,6 +25,14 @@ def test_query_equals_sql(spark, con, name):
     assert problem is None, problem
 
 
+def test_verify_changes_counts_open_switches(spark, con):
+    name = "verify_changes_whole"
+    problem, _ = compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF)
+    assert problem is None, problem
+    rows = entry.queries()[name](spark, SF).filter("switches > 0").collect()
+    assert rows and all(f"{r.switches} open switch(es)" in r.verdict_reason for r in rows)
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
