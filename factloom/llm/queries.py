@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from factloom.llm import (
     bpe,
     fingerprints,
+    importance,
     lm_score,
     mixing,
     near_dup,
@@ -18,6 +19,8 @@ from factloom.llm import (
     subword_classifier,
     token_counts,
     toxicity,
+    vector_codes,
+    vector_dedup,
 )
 from factloom.session import scan
 
@@ -169,3 +172,78 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"))
+
+
+@query
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(scan(spark, sf_dir, "embeddings"))
+
+
+_FINITE = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+ORACLES["op11_embedding_near_dedup"] = rf"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= {vector_dedup.LIKE}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, m AS component_id, e.vec_id = m AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = e.vec_id
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)"""
+
+
+@query
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(scan(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS, scale: int = vector_codes.SCALE) -> str:
+    """Each round is a table of assignments and one of codebooks."""
+    near = """near{k} AS MATERIALIZED (SELECT vec_id, part, c, entry, d FROM (SELECT vec_id, p.part, p.c, entry,
+  list_sum(list_transform(range(1, len(p.c) + 1), lambda i: (p.c[i] - book.c[i]) * (p.c[i] - book.c[i])))::BIGINT AS d
+  FROM p JOIN book{k} book USING (part)) QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1)"""
+    book = """book{k} AS MATERIALIZED (SELECT part, entry, coalesce(m, o.c) AS c FROM book{j} o LEFT JOIN (SELECT part, entry, list(v ORDER BY i) AS m FROM (
+  SELECT part, entry, i, floor(sum(c[i])::DOUBLE / count(*))::BIGINT AS v FROM near{j}, unnest(range(1, len(c) + 1)) AS u(i) GROUP BY ALL) GROUP BY ALL) USING (part, entry))"""
+    steps = [near.format(k=0)]
+    for k in range(1, rounds + 1):
+        steps += [book.format(k=k, j=k - 1), near.format(k=k)]
+    steps = ",\n".join(steps)
+    return rf"""
+WITH q AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor({scale} * x)::BIGINT) AS c FROM embeddings WHERE embedding IS NOT NULL AND {_FINITE}),
+p AS MATERIALIZED (SELECT vec_id, part, c[part * (len(c) // {parts}) + 1:(part + 1) * (len(c) // {parts})] AS c FROM q, unnest(range(0, {parts})) AS u(part)),
+book0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, c FROM p
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {entries}),
+{steps},
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS s FROM book{rounds}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256 FROM coded JOIN q USING (vec_id), digest"""
+
+
+ORACLES["op12_vector_code_compression"] = _codes_sql()
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "benchmark"))
+
+
+_B = importance.BUCKETS
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BYTES = "list_transform(range(0, octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)"
+_WORD_CRC = _CRC[_CRC.index("lambda crc"):]
+ORACLES["op13_importance_resampling"] = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+dw AS MATERIALIZED (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w),
+bw AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY w),
+h AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), {_WORD_CRC}, 4294967295::BIGINT) % {_B} AS bucket
+  FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM dw JOIN h USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::BIGINT AS t FROM bw JOIN h USING (w) GROUP BY bucket),
+a AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::BIGINT AS s_all, coalesce((SELECT sum(t) FROM t), 0)::BIGINT AS t_all),
+gain AS MATERIALIZED (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + {_B}))::DOUBLE / ((coalesce(s, 0) + 1) * (t_all + {_B}))::DOUBLE))::BIGINT AS g
+  FROM (SELECT DISTINCT bucket FROM h) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), a),
+w AS (SELECT r, sum(n * g)::BIGINT AS weight FROM dw JOIN h USING (w) JOIN gain USING (bucket) GROUP BY r),
+x AS MATERIALIZED (SELECT r, doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((
+  ('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (r)),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS fit FROM x WHERE n_features >= {importance.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, rank FROM x LEFT JOIN (SELECT r, rank FROM o WHERE rank <= fit * {importance.PERCENT} // 100) USING (r)"""
