@@ -1,7 +1,7 @@
 """Symbol resolution, reference and call graphs, breadth-first walks and budgeted selection.
 
 There is no type checker: a definition is (file, exported name), imports are resolved by path, package
-name or alias, re-exports by a bounded loop. All of it is equi-joins on short keys.
+name or alias, re-exports by pointer doubling. All of it is equi-joins on short keys.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from factloom.functions import paths, text
 from factloom.functions.lexer import KEYWORDS
+from factloom.operators import reexports, scopes
 from factloom.operators.ranking import top_per_key
 from factloom.session import cut_lineage
 
 # Walk limits of the tools.
-REEXPORT_DEPTH = 10
 FAN_OUT = 20
 IMPACT_DEPTH = 3
 CONTEXT_DEPTH = 2
@@ -24,6 +24,8 @@ MAX_TOKENS = 100_000
 BODY_LINES = 30
 SYMBOL_LIMIT = COMPLETION_LIMIT = 20
 REFERENCE_LIMIT = 100
+# Words before the name of a class member.
+MEMBER_WORDS = ["get", "set", "static", "async", "readonly", "public", "private", "protected", "abstract", "override"]
 
 c = F.col
 EXT = "\\.(d\\.ts|tsx|ts|jsx|js|mjs|cjs)$"
@@ -95,40 +97,25 @@ def resolve_modules(imports: DataFrame, files: DataFrame, packages: DataFrame |
 
 
 def definitions(exports: DataFrame, declarations: DataFrame, bindings: DataFrame, modules: DataFrame) -> DataFrame:
-    """(file, exported_as) to (def_file, def_name, def_line, def_kind) through re-exports and barrels."""
-    decl = declarations.select("file", c("symbol").alias("name"), c("line").alias("decl_line"), c("kind").alias("decl_kind"))
-    own = exports.filter(~c("kind").isin("reexport") & (c("name") != "*")).join(decl, ["file", "name"], "left")
-    imported = bindings.join(modules, ["file", "module"]).select("file", c("local").alias("name"), c("imported"), "target")
-    direct = own.filter((c("kind") != "unknown") | c("decl_line").isNotNull()).select(
-        "file", "exported_as", c("file").alias("def_file"), "name", F.coalesce("decl_line", "line").alias("def_line"),
-        F.coalesce("decl_kind", "kind").alias("def_kind")).withColumnRenamed("name", "def_name")
-    passed = own.filter((c("kind") == "unknown") & c("decl_line").isNull()).join(imported, ["file", "name"]).select(
-        "file", "exported_as", "target", c("imported").alias("wanted"))
-    again = exports.filter(c("kind") == "reexport").join(modules, ["file", "module"]).select(
-        "file", "exported_as", "target", c("name").alias("wanted"))
-    edges = again.unionByName(passed)
-    known = direct.distinct()
-    if edges.isEmpty():
-        return known
-    edges, known = cut_lineage(edges), cut_lineage(known)
-    size = known.count()
-    for _ in range(REEXPORT_DEPTH):
-        k = known.withColumnRenamed("file", "target").withColumnRenamed("exported_as", "seen_as")
-        named = edges.filter(c("wanted") != "*").join(k, "target").filter(c("wanted") == c("seen_as"))
-        star = edges.filter(c("wanted") == "*").join(k.filter(c("seen_as") != "default"), "target").withColumn("exported_as", c("seen_as"))
-        cols = ["file", "exported_as", "def_file", "def_name", "def_line", "def_kind"]
-        known = cut_lineage(known.unionByName(named.select(*cols)).unionByName(star.select(*cols)).distinct())
-        grown = known.count()
-        if grown == size:
-            break
-        size = grown
-    return known
+    """(file, exported_as) to (def_file, def_name, def_line, def_kind) through re-exports and barrels of any depth."""
+    return reexports.resolved(exports, declarations, bindings, modules)[0]
+
+
+def goto_definition(uses: DataFrame, bindings: DataFrame, modules: DataFrame, defs: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(file, name) of ``uses`` to where the name is defined: a declaration of the file, else what the import leads to."""
+    wanted = uses.select("file", "name").distinct()
+    own = wanted.join(declarations.select("file", c("symbol").alias("name"), c("file").alias("def_file"), c("symbol").alias("def_name"),
+                                          c("line").alias("def_line"), c("kind").alias("def_kind")), ["file", "name"])
+    far = wanted.join(bindings.select("file", c("local").alias("name"), "imported", "module"), ["file", "name"]).join(modules, ["file", "module"]).join(
+        defs.select(c("file").alias("target"), c("exported_as").alias("imported"), *reexports.DEF), ["target", "imported"])
+    return own.unionByName(far.select("file", "name", *reexports.DEF).join(own.select("file", "name"), ["file", "name"], "left_anti")).distinct()
 
 
 def references(tokens: DataFrame, bindings: DataFrame, modules: DataFrame, defs: DataFrame, declarations: DataFrame) -> DataFrame:
     """Every use of an exported or top-level symbol: (def_file, def_symbol, local name, file, line, col, package, is_test, is_import).
 
-    Imported names and same-file names are both joined on (file, name), so tokens move once.
+    Imported names and same-file names are both joined on (file, name), in the dealing of the stream that leaves out the names
+    that a local binding hides.
     """
     bound = bindings.join(modules, ["file", "module"]).join(
         defs.select(c("file").alias("target"), c("exported_as").alias("imported"), "def_file", "def_name"), ["target", "imported"]).select(
@@ -136,12 +123,14 @@ def references(tokens: DataFrame, bindings: DataFrame, modules: DataFrame, defs:
     local = declarations.select("file", c("symbol").alias("name"), c("file").alias("def_file"), c("symbol").alias("def_symbol"),
                                 c("ord").alias("decl_ord"))
     names = bound.unionByName(local)
-    key = (c("n1") == ":") & c("open_role").isin("object", "interface", "type")
+    member = (c("open_role") == "class") & c("p1").isin("{", "}", ";", "*", *MEMBER_WORDS)
+    key = ((c("n1") == ":") & c("open_role").isin("object", "interface", "type")) | member
     ids = tokens.filter(
         (c("kind") == "id") & ~F.coalesce(c("p1"), F.lit("")).isin(".", "?.") & ~F.coalesce(key, F.lit(False))
         & ~c("text").isin(*KEYWORDS) & ~((c("s1") == "import") & (F.coalesce(c("n1"), F.lit("")) == "as"))
     ).select("file", c("text").alias("name"), "ord", "line", "col", (c("s1") == "import").alias("is_import"), "sym", "argc", "node")
-    hit = ids.join(names, ["file", "name"]).filter(c("ord") != c("decl_ord"))
+    known = scopes.local_scopes(tokens).join(names.select("file", "name").distinct(), ["file", "name"], "left_semi")
+    hit = scopes.unshadowed(ids, known).join(names, ["file", "name"]).filter(c("ord") != c("decl_ord"))
     return hit.select(
         "def_file", "def_symbol", c("name").alias("local"), "file", "line", "col", paths.package_of(c("file")).alias("package"),
         paths.is_test_file(c("file")).alias("is_test"), F.coalesce("is_import", F.lit(False)).alias("is_import"),
@@ -279,7 +268,7 @@ def completions(tokens: DataFrame, bindings: DataFrame, file: str, line: int, pr
 def document_symbols(nodes: DataFrame, declarations: DataFrame) -> DataFrame:
     """Named nodes with their parent symbol and depth, in source order.
 
-    Depth and parent come from a running count over interval edges, never from node pairs.
+    Depth comes from a running count over interval edges, the parent from the stream of the level above; no nodes are paired.
     """
     named = nodes.filter(c("name").isNotNull() & c("node").isin("function", "arrow", "funcexpr", "method", "class", "interface", "enum"))
     own = named.select("file", c("start").alias("id"), "start", "until", "name", "node", "line", "col")
@@ -287,16 +276,16 @@ def document_symbols(nodes: DataFrame, declarations: DataFrame) -> DataFrame:
         own.select("file", (c("until") + 1).alias("at"), "id", F.lit(-1).alias("edge")))
     w = W.partitionBy("file").orderBy("at", "edge", "id").rowsBetween(W.unboundedPreceding, 0)
     depth = edges.withColumn("depth", F.sum("edge").over(w) - 1).filter(c("edge") == 1).select("file", "id", "depth")
+    # The parent is the last node before it one level up: each node also stands, as a parent, in the stream of the level below.
     tree = own.join(depth, ["file", "id"])
-    # The parent is the closest earlier node one level up.
-    up = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
-    parent = F.lit(None).cast("string")
-    for d in range(1, 5):
-        parent = F.when(c("depth") == d, F.last(F.when(c("depth") == d - 1, c("name")), ignorenulls=True).over(up)).otherwise(parent)
+    streams = tree.withColumn("level", c("depth")).withColumn("above", F.lit(None).cast("string")).unionByName(
+        tree.withColumn("level", c("depth") + 1).withColumn("above", c("name")).withColumn("depth", F.lit(None).cast("long")))
+    up = W.partitionBy("file", "level").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
+    placed = streams.withColumn("parent", F.last("above", ignorenulls=True).over(up)).filter(c("depth").isNotNull())
     variables = declarations.filter(c("kind").isin("variable", "type")).select(
         "file", c("ord").alias("start"), c("symbol").alias("name"), c("kind").alias("node"), "line", "col",
         F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("parent"))
-    return tree.withColumn("parent", parent).select("file", "start", "name", "node", "line", "col", "depth", "parent").unionByName(variables)
+    return placed.select("file", "start", "name", "node", "line", "col", "depth", "parent").unionByName(variables)
 
 
 def outline(symbols: DataFrame, shapes: DataFrame) -> DataFrame:
