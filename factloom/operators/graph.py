@@ -14,7 +14,7 @@ from factloom.functions import paths, text
 from factloom.functions.lexer import KEYWORDS
 from factloom.operators import reexports, scopes
 from factloom.operators.ranking import top_per_key
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, stored
 
 # Walk limits of the tools.
 FAN_OUT = 20
@@ -122,7 +122,7 @@ def references(tokens: DataFrame, bindings: DataFrame, modules: DataFrame, defs:
         "file", c("local").alias("name"), "def_file", c("def_name").alias("def_symbol"), F.lit(-1).alias("decl_ord"))
     local = declarations.select("file", c("symbol").alias("name"), c("file").alias("def_file"), c("symbol").alias("def_symbol"),
                                 c("ord").alias("decl_ord"))
-    names = bound.unionByName(local)
+    names = stored(bound.unionByName(local), "names")  # read twice
     member = (c("open_role") == "class") & c("p1").isin("{", "}", ";", "*", *MEMBER_WORDS)
     key = ((c("n1") == ":") & c("open_role").isin("object", "interface", "type")) | member
     ids = tokens.filter(

@@ -11,7 +11,7 @@ declarations, loop variables and caught errors. Type parameters bind nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,41 +35,60 @@ def extents(tokens: DataFrame) -> DataFrame:
     return block.unionByName(call).unionByName(loop).unionByName(function)
 
 
-def binders(tokens: DataFrame) -> DataFrame:
-    """(file, name, ord, kind, key): every name bound below the top level, with the bracket or node that bounds its scope."""
-    narrow = tokens.select("file", "ord", "kind", "text", "open", "open_role", "p1", "p2", "n1", "n2", "n3", "s1", "stmt", "close", "fn", "node", "params")
-    # Patterns: the outermost bracket, what bounds it, and for arrays the bracket that their first name lies in.
+def _scope(kind: Column, key: Column) -> Column:
+    return F.struct(kind.alias("kind"), key.cast("int").alias("key"))
+
+
+def _found(rows: DataFrame, scope: Column) -> DataFrame:
+    """The generator keeps the choice of scope one expression, whatever reads its fields."""
+    return rows.select("file", c("text").alias("name"), "ord", F.inline(F.array(scope))).filter(c("kind").isNotNull())
+
+
+def _word_scope(word: Column, role: Column, bracket: Column) -> Column:
+    """Scope of a name after const, let or var: the loop or block round it, for var the function."""
+    return _scope(F.when(word == "var", "function").when(role == "for", "for").otherwise("block"), F.when(word == "var", c("fn")).otherwise(bracket))
+
+
+def single_binders(tokens: DataFrame) -> DataFrame:
+    """Names bound one at a time: parameters, declared values, nested declarations, caught errors."""
+    ids = tokens.filter((c("kind") == "id") & ((c("open") >= 0) | (c("n1") == "=>")) & ~c("text").isin(*KEYWORDS)).select(
+        "file", "ord", "text", "open", "open_role", "p1", "n1", "s1", "stmt", "fn")
     valued = c("p1").isin(*VALUE_WORDS)
-    starts = (c("text") == "{") & (valued | ((c("open_role") == "params") & c("p1").isin("(", ",")))
-    pattern = F.when(starts, F.struct("close", "open", "open_role", "p1", "fn"))
-    array = F.when((c("p1") == "[") & c("p2").isin(*VALUE_WORDS), F.struct("open", "p2", "fn"))
-    by_place = W.partitionBy("file").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    seen = narrow.withColumn("pattern", F.last(pattern, ignorenulls=True).over(by_place)).withColumn("array", F.last(array, ignorenulls=True).over(by_place))
-    ids = seen.filter((c("kind") == "id") & ~c("text").isin(*KEYWORDS))
-    in_pattern = (c("ord") < c("pattern.close")) & c("p1").isin("{", ",", ":", "...", "[") & c("n1").isin(",", "}", "]", "=")
-    in_array = (c("open") == c("array.open")) & c("p1").isin("[", ",", "...") & c("n1").isin(",", "]", "=")
     later = (c("p1") == ",") & c("s1").isin(*VALUE_WORDS) & c("n1").isin("=", ":", ",", ";")
-    bare = (c("n1") == "=>") & ~F.coalesce(c("p1") == ")", F.lit(False))
     nested = c("p1").isin(*NESTED_WORDS) & ((c("ord") - 1 == c("stmt")) | ((c("ord") - 2 == c("stmt")) & c("s1").isin("async", "abstract", "declare", "const")))
-    caught = (c("open_role") == "catch") & (c("p1") == "(")
-    outer = F.struct(F.when(c("pattern.open_role") == "params", "params").when(c("pattern.p1") == "var", "function").when(
-        c("pattern.open_role") == "for", "for").otherwise("block").alias("kind"),
-        F.when((c("pattern.p1") == "var") & (c("pattern.open_role") != "params"), c("pattern.fn")).otherwise(c("pattern.open")).alias("key"))
-    word = F.when(c("p1").isin(*VALUE_WORDS), c("p1")).otherwise(c("s1"))
-    own = F.struct(F.when(word == "var", "function").when(c("open_role") == "for", "for").otherwise("block").alias("kind"),
-                   F.when(word == "var", c("fn")).otherwise(c("open")).alias("key"))
-    here = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("int").alias("key"))
     scope = (
-        F.when(bare, here("params", c("ord")))
-        .when(in_pattern, outer)
-        .when((c("open_role") == "params") & c("p1").isin(*PARAM_LEADS) & (c("n1") != ">"), here("params", c("open")))
-        .when(in_array, here("function", c("array.fn")))  # an array's bracket has no row: its function bounds it
-        .when(caught, here("block", c("ord") + F.when(c("n1") == ":", 4).otherwise(2)))
-        .when(valued | later, own)
-        .when(nested & (c("open") >= 0), here("block", c("open")))
+        F.when((c("n1") == "=>") & ~F.coalesce(c("p1") == ")", F.lit(False)), _scope(F.lit("params"), c("ord")))
+        .when((c("open_role") == "params") & c("p1").isin(*PARAM_LEADS) & (c("n1") != ">"), _scope(F.lit("params"), c("open")))
+        .when((c("open_role") == "catch") & (c("p1") == "("), _scope(F.lit("block"), c("ord") + F.when(c("n1") == ":", 4).otherwise(2)))
+        .when(valued | later, _word_scope(F.when(valued, c("p1")).otherwise(c("s1")), c("open_role"), c("open")))
+        .when(nested, _scope(F.lit("block"), c("open")))
     )
-    # The generator keeps the choice of scope one expression, whatever reads its fields.
-    return ids.select("file", c("text").alias("name"), "ord", F.inline(F.array(scope))).filter(c("kind").isNotNull())
+    return _found(ids, scope)
+
+
+def pattern_binders(tokens: DataFrame) -> DataFrame:
+    """Names bound by destructuring, at any depth: those that lie in the last pattern that began before them.
+
+    The stream per file holds only where patterns begin and the names that may stand in one. An array's bracket has no row: its
+    names lie in the bracket of its first name, and its scope is that of the function round it.
+    """
+    valued = c("p1").isin(*VALUE_WORDS)
+    starts = (c("text") == "{") & (valued | ((c("open_role") == "params") & c("p1").isin("(", ",")))
+    inside = (c("kind") == "id") & c("p1").isin("{", ",", ":", "...", "[") & c("n1").isin(",", "}", "]", "=") & ~c("text").isin(*KEYWORDS)
+    rows = tokens.filter(starts | inside).select("file", "ord", "text", "open", "open_role", "p1", "p2", "close", "fn", inside.alias("inside"))
+    pattern = F.when((c("text") == "{") & ~c("inside"), F.struct("close", "open", "open_role", "p1"))
+    array = F.when((c("p1") == "[") & c("p2").isin(*VALUE_WORDS), c("open"))
+    by_place = W.partitionBy("file").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    seen = rows.withColumn("pattern", F.last(pattern, ignorenulls=True).over(by_place)).withColumn("array", F.last(array, ignorenulls=True).over(by_place))
+    scope = F.when(c("ord") < c("pattern.close"), F.when(c("pattern.open_role") == "params", _scope(F.lit("params"), c("pattern.open"))).otherwise(
+        _word_scope(c("pattern.p1"), c("pattern.open_role"), c("pattern.open")))).when(
+        (c("open") == c("array")) & c("p1").isin("[", ",", "..."), _scope(F.lit("function"), c("fn")))
+    return _found(seen.filter("inside"), scope)
+
+
+def binders(tokens: DataFrame) -> DataFrame:
+    """(file, name, ord, kind, key): every name bound below the top level, with the bracket or node that bounds its scope."""
+    return single_binders(tokens).unionByName(pattern_binders(tokens))
 
 
 def local_scopes(tokens: DataFrame) -> DataFrame:

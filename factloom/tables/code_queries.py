@@ -14,6 +14,7 @@ from factloom.functions import paths
 from factloom.operators import diff, facts, graph, patterns, ranking, structural, workflows
 from factloom.plans import advice
 from factloom.plans import find_code as fc
+from factloom.session import stored
 from factloom.sources import files as src
 from factloom.tables import corpus
 from factloom.tables.registry import query
@@ -247,10 +248,10 @@ def resolved(spark: SparkSession, sf_dir: str):
     if key not in _RESOLVED:
         files = corpus.source_files(spark, sf_dir).select("path")
         t = both_tokens(spark, sf_dir)
-        bindings = graph.import_bindings(t)
-        modules = graph.resolve_modules(bindings, files, src.packages(corpus.manifests(spark, sf_dir)))
-        decls = facts.declarations(t)
-        defs = graph.definitions(facts.exports(t), decls, bindings, modules)
+        bindings = stored(graph.import_bindings(t), "bindings")
+        modules = stored(graph.resolve_modules(bindings, files, src.packages(corpus.manifests(spark, sf_dir))), "modules")
+        decls = stored(facts.declarations(t), "declarations")
+        defs = stored(graph.definitions(stored(facts.exports(t), "exports"), decls, bindings, modules), "definitions")
         refs = graph.references(t, bindings, modules, defs, decls).persist(StorageLevel.MEMORY_AND_DISK)
         _RESOLVED[key] = (refs, defs, decls, t)
     return _RESOLVED[key]
