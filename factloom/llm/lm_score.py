@@ -8,8 +8,9 @@ gives to those tokens. One left-to-right traversal carries the state; the estima
 Every bigram that occurs ARC_LEAST times in the training texts gets an arc, at any size of corpus: all bigrams are counted, with
 sums in each task first, and arcs, failure weights and root arcs are tables. Of these the tokens and arcs of HEAVY_SHARE, at most
 1 / HEAVY_SHARE each, are broadcast; what a text needs of the others is joined by key, pre-aggregated by text. A bigram's key is
-64 bit, of the hashes of its words. What is joined is dealt to PASSES by key, one after the other, so that only a part of it lies
-on disk at a time; equal rows count as copies of one. ARC_SHARE bounds arcs only in the SQL of op8, or where it is given as arc_share.
+64 bit, of the hashes of its words: two bigrams of one key, expected once in 2^64 pairs of bigrams, would be counted together.
+What is joined is dealt to PASSES by key, one after the other, so that only a part of it lies on disk at a time; rows of one id and
+text, known by a 64-bit hash of both, count as copies of one. A task holds at most HOLD_KEYS keys and as many fresh tokens.
 
 Defined cases: a null or empty text is one end; a row without id counts as id "" for the split; rows that repeat are counted
 and scored each; without training texts every token has the estimate of an unseen one.
@@ -29,7 +30,6 @@ from factloom.llm.common import chunks, crc_mod, keyed, text_buffer, word_hashes
 from factloom.session import stored
 
 HEAVY_SHARE = 5e-7
-ARC_SHARE = 1e-5
 ARC_LEAST = 2
 DISCOUNT = 0.5
 HELD_OUT = (5, 1)
@@ -40,7 +40,7 @@ TURN = 13
 #: The bigrams of a state of this share of the tokens are dealt to so many parts.
 WIDE_SHARE, WIDE_PARTS = 1e-4, 64
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-HOLD_KEYS = 3_000_000
+HOLD_KEYS = 1_000_000
 EMIT_ROWS = 200_000
 
 
@@ -182,7 +182,7 @@ def _freed(df: DataFrame, what: str) -> DataFrame:
         conf.set(FREE_SHUFFLES, before)
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_share: float = HEAVY_SHARE, arc_share: float = 0.0) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     context = docs.sparkSession.sparkContext
     rows = keyed(docs, id_col, text_col).withColumn("held_out", crc_mod(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1])
@@ -203,7 +203,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heav
         yield from _counted((pair_keys(*token_hashes(b.column(1))) for b in chunks(batches)), wide)
 
     pairs = training.mapInArrow(count_pairs, "key long, n long, state long, part long").repartition("state", "part").groupBy(
-        "state", "part", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(ARC_LEAST, arc_share * total)).select(
+        "state", "part", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= ARC_LEAST).select(
         "key", "state", "n", _token(F.col("key"), F.col("state")).alias("token"))
     unigram = (F.col("token_n") + 0.5) / F.lit(model.floor)
     arcs = _freed(pairs.join(unigrams.select(F.col("key").alias("token"), F.col("n").alias("token_n")), "token").drop("token"), "arcs")

@@ -154,7 +154,7 @@ WITH t AS MATERIALIZED (SELECT doc_id, xor({_CRC}, 4294967295::BIGINT) % 5 = 1 A
 tok AS MATERIALIZED (SELECT doc_id, held_out, w[i] AS w, CASE WHEN i = 1 THEN ' begin' ELSE w[i - 1] END AS h FROM t, unnest(range(1, len(w) + 1)) AS u(i)),
 u AS MATERIALIZED (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w),
 a AS (SELECT sum(c)::BIGINT AS n, count(*) AS v, sum(c) FILTER (w = ' end') AS texts FROM u),
-arc AS MATERIALIZED (SELECT h, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY h, w HAVING count(*) >= 2 AND count(*) >= {lm_score.ARC_SHARE} * (SELECT n FROM a)),
+arc AS MATERIALIZED (SELECT h, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY h, w HAVING count(*) >= {lm_score.ARC_LEAST}),
 est AS MATERIALIZED (SELECT arc.h, arc.w, (arc.c - {_D}) / coalesce(hu.c, texts) AS p, (wu.c + 0.5) / (n + 0.5 * (v + 1)) AS q
   FROM arc JOIN u wu ON wu.w = arc.w LEFT JOIN u hu ON hu.w = arc.h, a),
 fail AS (SELECT h, log10(greatest(1 - sum(p), 1e-12) / greatest(1 - sum(q), 1e-12)) AS f FROM est GROUP BY h)
