@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled thresholds; DataFrame functions only.
 
-Base measures come from whole texts. Beyond the two fixed base rules, each rule rejects a text whose ratio lies over a cutoff
-of a fixed grid. A cutoff is certified for a stratum (a band of text length) if the labelled good texts of the stratum show, by
-an exact binomial test, that it rejects at most FALSE_REJECTION of good texts; the tests of all strata, rules and cutoffs share
-one error probability (Bonferroni), so that with probability 1 - ERROR every certified cutoff keeps its promise. The lowest
-certified cutoff of each stratum and rule is applied; without enough labels there is none, and nothing is rejected by that rule.
-The grid isn't fitted to any rows, so all labelled rows are holdouts.
+Base measures come from whole texts. Beyond the two fixed base rules, each rule has a ratio in units of its own (UNITS), and a text
+is rejected if its worst ratio lies over a cutoff of the fixed GRID: the rules are tightened together, so that one cutoff speaks for
+all of them. In a stratum (a band of text length) the cutoffs are tested from the laxest to stricter ones, by an exact binomial test
+on the labelled good texts, up to the first that fails: a fixed sequence needs no correction, so that only the strata share the
+error probability (Bonferroni). With probability 1 - ERROR, all rules together reject at most FALSE_REJECTION of the good texts
+of every stratum. Without enough labels a stratum has no cutoff, and nothing is rejected there beyond the base. Equal texts are one
+trial. The grid and the units aren't fitted to any rows, so all labelled rows are holdouts.
 
 Repeated windows are found by sorting one number per window (40 bits of hash, 24 bits of place) and comparing neighbours; where
 a hash collides or a text has 2^24 words or more, the windows themselves are sorted.
@@ -29,13 +30,15 @@ BANDS = [200, 500, 1200]
 GRID = [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02, 0.01]
 FALSE_REJECTION = 0.005
 ERROR = 0.05
+#: Ratio of each rule, and what counts as one unit of it.
 RULES = {
-    "symbols": "n_symbols / word_chars",
-    "repeats": "n_repeat_words / n_words",
-    "lines": "n_dup_lines / n_words",
-    "capitals": "n_capitals / word_chars",
-    "exclamations": "n_exclamations / word_chars",
+    "symbols": "n_symbols / nullif(word_chars, 0)",
+    "repeats": "n_repeat_words / nullif(n_words, 0)",
+    "lines": "n_dup_lines / nullif(n_words, 0)",
+    "capitals": "n_capitals / nullif(word_chars, 0)",
+    "exclamations": "n_exclamations / nullif(word_chars, 0)",
 }
+UNITS = {"symbols": 1.0, "repeats": 2.0, "lines": 1.0, "capitals": 2.0, "exclamations": 0.5}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = [*BASE, "n_capitals", "n_exclamations"]
 _PLACE_BITS = 24
@@ -107,36 +110,44 @@ def _binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k < n * p, F.exp(log_top + F.log(series))).otherwise(1.0)
 
 
+def worst_ratio() -> Column:
+    """The largest of the rules' ratios, each in its unit; null for a text without words."""
+    return F.greatest(*[F.expr(e) / F.lit(UNITS[r]) for r, e in RULES.items()])
+
+
 def certified_cutoffs(measures: DataFrame, labels: DataFrame) -> DataFrame:
-    """stratum and, for each rule, the lowest certified cutoff (null: none). measures: doc_id and the measures; at most one row a band."""
+    """stratum, n (distinct good texts), cutoff (the strictest certified one, null: none); at most one row a band.
+
+    measures: doc_id, text_key (equal for equal texts) and the measures. Stricter cutoffs reject more, so their p-values grow along
+    the sequence, and all before the first failure pass.
+    """
     good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
-    rows = measures.join(good, "doc_id", "left_semi").filter(~_base_failed()).withColumn("stratum", _stratum())
-    ratios = {r: F.expr(e) for r, e in RULES.items()}
-    counts = rows.groupBy("stratum").agg(F.count("*").alias("n"), *[
-        F.array(*[F.sum((ratio > c).cast("long")) for c in GRID]).alias(r) for r, ratio in ratios.items()])
-    share = ERROR / ((len(BANDS) + 1) * len(RULES) * len(GRID))
-    lowest = [F.array_min(F.array(*[F.when(_binomial_tail(F.get(r, i), F.col("n"), FALSE_REJECTION) <= share, F.lit(c)) for i, c in enumerate(GRID)])).alias(r) for r in RULES]
-    return counts.select("stratum", *lowest)
+    rows = measures.join(good, "doc_id", "left_semi").filter(~_base_failed()).select(_stratum().alias("stratum"), "text_key", worst_ratio().alias("worst"))
+    trials = rows.groupBy("stratum", "text_key").agg(F.max("worst").alias("worst"))
+    counts = trials.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*[F.sum((F.col("worst") > c).cast("long")) for c in GRID]).alias("over"))
+    passes = [F.when(_binomial_tail(F.get("over", i), F.col("n"), FALSE_REJECTION) <= ERROR / (len(BANDS) + 1), F.lit(c)) for i, c in enumerate(GRID)]
+    return counts.select("stratum", "n", F.array_min(F.array(*passes)).alias("cutoff"))
 
 
 def judged(measures: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """The rows with base_failed and kept; the cutoffs have one row a length band, four in all."""
-    over = reduce(lambda a, b: a | b, [F.coalesce(F.expr(e) > F.col(f"_cut.{r}"), F.lit(False)) for r, e in RULES.items()])
     marked = measures.withColumn("base_failed", _base_failed()).withColumn("_stratum", _stratum())
-    cuts = cutoffs.select(F.col("stratum").alias("_stratum"), F.struct(*RULES).alias("_cut"))
+    cuts = cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoff").alias("_cut"))
+    over = F.coalesce(worst_ratio() > F.col("_cut"), F.lit(False))
     return marked.join(F.broadcast(cuts), "_stratum", "left").withColumn("kept", ~F.col("base_failed") & ~over).drop("_stratum", "_cut")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base measures, base_failed and kept of each row."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    measures = stored(measured(own).select("doc_id", "_measures.*"), "measures")
+    measures = stored(measured(own).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "_measures.*"), "measures")
     return judged(measures, certified_cutoffs(measures, labels)).select("doc_id", *BASE, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that the rules keep, with the columns they came with."""
-    own = stored(measured(docs, text_col).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "_measures"), "measured")
-    measures = own.select(F.col("row").getField(id_col).cast("long").alias("doc_id"), "row", "_measures.*")
+    """The rows that the rules keep, with the columns they came with, whatever their names."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    own = stored(measured(packed).select("row", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "_measures"), "measured")
+    measures = own.select(F.col("row").getField(id_col).cast("long").alias("doc_id"), "row", "text_key", "_measures.*")
     cutoffs = certified_cutoffs(measures.drop("row"), labels)
     return judged(measures, cutoffs).filter("kept").select("row.*")

@@ -81,10 +81,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRID = ", ".join(map(str, quality_rules.GRID))
-_RULES = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {e} AS ratio FROM good" for r, e in quality_rules.RULES.items())
-_CUT = ", ".join(f"min(cutoff) FILTER (rule = '{r}') AS {r}" for r in quality_rules.RULES)
-_OVER = " OR ".join(f"coalesce({e} > c.{r}, false)" for r, e in quality_rules.RULES.items())
-_TESTS = (len(quality_rules.BANDS) + 1) * len(quality_rules.RULES) * len(quality_rules.GRID)
+_WORST = "greatest(" + ", ".join(f"{e} / {quality_rules.UNITS[r]}::DOUBLE" for r, e in quality_rules.RULES.items()) + ")"
 _BAND = " + ".join(f"(n_words >= {b})::INT" for b in quality_rules.BANDS)
 _A = quality_rules.FALSE_REJECTION
 ORACLES["op4_quality_rules"] = rf"""
@@ -99,11 +96,12 @@ m AS MATERIALIZED (SELECT t.doc_id, len(w) AS n_words, coalesce(list_sum(list_tr
   coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS n_capitals,
   length(regexp_replace(x, '[^!]', '', 'g')) AS n_exclamations FROM t LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_BAND} AS stratum FROM m),
-good AS (SELECT b.* FROM b JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
-tested AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (ratio > cutoff) AS k FROM ({_RULES}), unnest([{_GRID}]) AS g(cutoff) GROUP BY ALL),
-cuts AS (SELECT stratum, {_CUT} FROM tested WHERE k < n * {_A} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1)
-  - lgamma(n - i + 1) + i * ln({_A}) + (n - i) * ln(1 - {_A})))) <= {quality_rules.ERROR} / {_TESTS} GROUP BY stratum)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_OVER}) AS kept
+good AS (SELECT DISTINCT stratum, x, {_WORST} AS worst FROM b JOIN t USING (doc_id) JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)
+  WHERE quality = 1 AND NOT base_failed),
+tested AS (SELECT stratum, cutoff, count(*) AS n, count(*) FILTER (worst > cutoff) AS k FROM good, unnest([{_GRID}]) AS g(cutoff) GROUP BY ALL),
+cuts AS (SELECT stratum, min(cutoff) AS cutoff FROM tested WHERE k < n * {_A} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1)
+  - lgamma(n - i + 1) + i * ln({_A}) + (n - i) * ln(1 - {_A})))) <= {quality_rules.ERROR} / {len(quality_rules.BANDS) + 1} GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({_WORST} > c.cutoff, false) AS kept
 FROM b LEFT JOIN cuts c USING (stratum)"""
 
 

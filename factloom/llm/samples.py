@@ -29,7 +29,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, folds: int,
     """Texts and labels of at most per_label documents of each label and most_bytes bytes in all, in the order of a hash.
 
     Only rows of the learning folds are drawn. The same document is drawn whatever the partitions are; of rows that repeat an
-    id, the first by content counts.
+    id, the first by content counts, of a document labelled twice the larger label. A document that doesn't fit into what is left
+    of the bytes is passed over, those after it are still drawn.
     """
     known = _learning(labels, column, folds, held_out).withColumn("turn", F.xxhash64("doc_id"))
     drawn = known.filter("label = 0").orderBy("turn", "doc_id").limit(per_label).unionByName(
@@ -38,9 +39,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, folds: int,
     sizes = rows.groupBy("doc_id", "label", "turn").agg(F.max("size").alias("size")).orderBy("turn", "doc_id").collect()
     total, within = 0, []
     for r in sizes:
+        if total + r["size"] > most_bytes:
+            continue
         total += r["size"]
-        if total > most_bytes:
-            break
         within.append((r["doc_id"], r["label"]))
     if not within:
         return pa.array([], pa.string()), []

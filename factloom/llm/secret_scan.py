@@ -62,7 +62,7 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", part_col: str = "lang") -> DataFrame:
-    """doc_id, owner, repository, spans: the candidates of each row; one pass, no shuffle."""
+    """doc_id, owner, repository, spans: the candidates of each row; one pass, no shuffle. A table without one of the columns has one owner or one part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -70,9 +70,10 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(spans, pa.list_(_SPAN))],
                                              ["doc_id", "owner", "repository", "spans"])
 
-    owner = F.coalesce(docs[owner_col].cast("string"), F.lit(""))
+    column = lambda name: F.coalesce(docs[name].cast("string"), F.lit("")) if name in docs.columns else F.lit("")
+    owner = column(owner_col)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), owner.alias("owner"),
-                       F.concat_ws("/", owner, F.coalesce(docs[part_col].cast("string"), F.lit(""))).alias("repository"))
+                       F.concat_ws("/", owner, column(part_col)).alias("repository"))
     return rows.mapInArrow(run, "doc_id long, owner string, repository string, spans array<struct<start: long, kind: int, end: long, value: long>>")
 
 
@@ -127,9 +128,10 @@ def redact_live(docs: DataFrame, many_owners: int = MANY_OWNERS, id_col: str = "
         F.col("doc_id").alias("_id")).agg(F.collect_set("value").alias("_examples"))
     names = docs.columns
     text_at, size_at = names.index(text_col), names.index(size_col) if size_col in names else -1
+    packed = docs.select(docs[id_col].cast("long").alias("key"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col):
+        for batch in chunks(batches, f"c{text_at}"):
             columns = batch.columns[:-1]
             texts = batch.column(text_at).to_pylist()
             known = batch.column(batch.num_columns - 1).to_pylist()
@@ -142,5 +144,5 @@ def redact_live(docs: DataFrame, many_owners: int = MANY_OWNERS, id_col: str = "
                     columns[size_at] = pa.array(sizes, batch.schema.field(size_at).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = docs.join(examples, docs[id_col].cast("long").eqNullSafe(F.col("_id")), "left").select(*[docs[c] for c in names], "_examples")
+    joined = packed.join(examples, F.col("key").eqNullSafe(F.col("_id")), "left").select("row.*", "_examples")
     return joined.mapInArrow(run, docs.schema)

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -183,18 +184,54 @@ def test_quality_of_odd_rows(odd, none, labels):
 
 
 def test_quality_cutoffs_hold_the_risk(spark):
-    """A cutoff is certified exactly when the binomial tail allows it; none without enough labels."""
-    rows = [(i, 300, 1000, 20 if i < 5 else 0, 0, 0, 0, 0) for i in range(3000)]
-    measures = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_capitals long, n_exclamations long")
-    cut = quality_rules.certified_cutoffs(measures, spark.createDataFrame([(i, 1) for i in range(3000)], "doc_id long, quality int")).first()
-    assert cut.stratum == 1 and cut.symbols == 0.02 and cut.capitals == 0.01
-    few = quality_rules.certified_cutoffs(measures, spark.createDataFrame([(i, 1) for i in range(500)], "doc_id long, quality int")).first()
-    assert few.symbols is None
+    """A cutoff is certified exactly when the binomial tail allows it; none without enough labels; equal texts are one trial."""
+    schema = "doc_id long, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_capitals long, n_exclamations long"
+    rows = [(i, i, 300, 1000, 20 if i < 5 else 0, 0, 0, 160 if i == 7 else 0, 0) for i in range(3000)]
+    measures, labels = spark.createDataFrame(rows, schema), spark.createDataFrame([(i, 1) for i in range(3000)], "doc_id long, quality int")
+    cut = quality_rules.certified_cutoffs(measures, labels).first()
+    assert (cut.stratum, cut.n, cut.cutoff) == (1, 3000, 0.01)  # 6 of 3000 over it; the tail at 6 is 0.0023
+    over = spark.createDataFrame([(*r[:4], 20 if r[0] < 12 else 0, *r[5:]) for r in rows], schema)
+    assert quality_rules.certified_cutoffs(over, labels).first().cutoff == 0.02  # 13 over 0.01, a tail of 0.36
+    assert quality_rules.certified_cutoffs(measures, labels.filter("doc_id between 100 and 899")).first().cutoff is None
+    copies = measures.withColumn("text_key", F.col("text_key") % 500)
+    assert tuple(quality_rules.certified_cutoffs(copies, labels).first())[1:] == (500, None)
     tail = spark.range(1).select(quality_rules._binomial_tail(F.lit(4).cast("long"), F.lit(3000).cast("long"), 0.005)).first()[0]
     from math import comb
     assert tail == pytest.approx(sum(comb(3000, i) * 0.005**i * 0.995 ** (3000 - i) for i in range(5)), rel=1e-9)
 
 
+def test_quality_rules_reject_where_labels_certify(spark, tmp_path):
+    """The registered SQL on tables where rules act, and the risk on good texts that bear no label."""
+    rng = random.Random(11)
+    text = lambda junk: " ".join(rng.choice(["#", "$$", "&"]) if rng.random() < junk else rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(rng.randint(60, 150)))
+    good = [(i, text(0.0)) for i in range(2400)]
+    docs = [*good, *((i, text(0.6)) for i in range(5000, 5060)), *((i, good[3][1]) for i in range(6000, 6100)), (7000, None), (7001, "")]
+    schema = "doc_id long, text string"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(1500)] + [(i, 0, 0) for i in range(5000, 5020)] + [(6000, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    problem, _ = compare(spark, con, queries.op4_quality_rules, queries.ORACLES["op4_quality_rules"], str(tmp_path))
+    assert problem is None, problem
+    rows = {r.doc_id: r for r in queries.op4_quality_rules(spark, str(tmp_path)).collect()}
+    assert all(rows[i].base_failed or not rows[i].kept for i in range(5000, 5060)) and sum(not rows[i].base_failed for i in range(5000, 5060)) > 30
+    held_out = [rows[i] for i in range(1500, 2400)]
+    assert sum(not r.kept for r in held_out) <= quality_rules.FALSE_REJECTION * len(held_out)
+
+
+def test_stages_keep_clashing_columns(spark):
+    schema = "doc_id long, text string, source string, _words string, _id long, _examples string, row string, _cut double, key string, spans int, _measures int"
+    docs = spark.createDataFrame([(i, "plain words here " * 25 + f"password = hunter{i % 2}22 ", f"s{i % 5}", "w", 7, "e", "r", 0.5, "k", 3, 4) for i in range(20)], schema)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for out in (quality_rules.keep_good(docs, labels), secret_scan.redact_live(docs), mixing.mix_rows(docs)):
+        assert out.columns == docs.columns and {r["_words"] for r in out.collect()} <= {"w"}
+    found = secret_scan.redact_live(docs).collect()
+    assert len(found) == 20 and all("hunter" in r.text for r in found)  # five sources have each value
+    assert secret_scan.scan_secrets(docs.drop("source")).filter("n_live > 0").count() == 20
+
+
 def _spans(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
