@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from factloom.functions import lexer
 from factloom.operators import facts
-from factloom.sources import store
+from factloom.sources import log_store
 from factloom.sources.configs import config_entries
 
 c = F.col
@@ -46,29 +46,36 @@ def document_versions(edits: DataFrame) -> DataFrame:
     return latest_per_key(edits, ["path"], c("version"), ["version", "text"])
 
 
-def index_stream(files: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def index_stream(files: DataFrame, target: str, checkpoint: str, available_now: bool = True, merge_after: int = log_store.MERGE_AFTER,
+                 grace_seconds: float = log_store.GRACE_SECONDS) -> StreamingQuery:
     """Maintain the stored fact tables from a stream of file versions (path, text, mtime); a null text means the file is gone.
 
-    Each micro-batch keeps the newest version per path, cuts it once and appends the facts stamped with the
-    batch; readers take the newest batch per file (``store.current``). Replays rewrite the same batch folder.
+    Each micro-batch keeps the newest version per path, cuts it once and appends its facts to the log-structured store; readers
+    use ``indexed``. After ``merge_after`` batches they are merged into a run. A replayed batch replaces itself.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         newest = batch.groupBy("path").agg(F.max_by(F.struct("text", "mtime"), "mtime").alias("s")).select("path", "s.*")
         live = newest.filter(c("text").isNotNull())
         tokens = lexer.tokens(live).persist()
         try:
-            marks = newest.select(c("path").alias("file"), "mtime")
-            store.write_batch(marks, target, "files", batch_id)
-            for name, cut in FACTS.items():
-                store.write_batch(cut(tokens), target, name, batch_id)
-            store.write_batch(config_entries(live), target, "configs", batch_id)
+            facts_of = {name: cut(tokens) for name, cut in FACTS.items()}
+            facts_of["configs"] = config_entries(live)
+            facts_of["files"] = live.select(c("path").alias("file"), "mtime")
+            log_store.append(facts_of, newest.select(c("path").alias("file"), c("text").isNull().alias("gone")), target, batch_id)
         finally:
             tokens.unpersist()
+        log_store.upkeep(batch.sparkSession, target, merge_after, grace_seconds)
 
     writer = files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def indexed(spark: SparkSession, target: str, tables: list[str]) -> dict[str, DataFrame]:
+    """Tables of one snapshot of the index: all of them show the same batches."""
+    snap = log_store.snapshot(spark, target)
+    return {t: log_store.read(spark, snap, t) for t in tables}
+
+
 def file_stream(spark: SparkSession, folder: str, schema: str = "path string, text string, mtime timestamp") -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 

@@ -139,14 +139,14 @@ def test_store_and_stream(spark):
     run()
     put([("a.ts", "export const three = f(3);", 2)])
     run()
-    now = {(r["file"], r["symbol"]) for r in store.current(spark, f"{root}/out", "declarations").collect()}
-    assert now == {("a.ts", "three"), ("b.ts", "two")}
-    assert [r["identifier"] for r in store.current(spark, f"{root}/out", "usages").collect()] == ["f"]
+    rows = lambda table: incremental.indexed(spark, f"{root}/out", [table])[table].collect()
+    assert {(r["file"], r["symbol"]) for r in rows("declarations")} == {("a.ts", "three"), ("b.ts", "two")}
+    assert [r["identifier"] for r in rows("usages")] == ["f"]
     put([("b.ts", None, 3), ("app.json", '{"a": {"b": 1}}', 3)])
     run()
-    assert [r["name"] for r in store.current(spark, f"{root}/out", "exports").collect()] == ["three"]
-    assert {r["file"] for r in store.current(spark, f"{root}/out", "declarations").collect()} == {"a.ts"}
-    assert [r["key_path"] for r in store.current(spark, f"{root}/out", "configs").collect()] == [["a", "b"]]
+    assert [r["name"] for r in rows("exports")] == ["three"]
+    assert {r["file"] for r in rows("declarations")} == {"a.ts"}
+    assert [r["key_path"] for r in rows("configs")] == [["a", "b"]]
 
 
 def test_stored_index_has_one_version(spark):
@@ -155,6 +155,12 @@ def test_stored_index_has_one_version(spark):
     old = store.load(spark, root, "scope")
     store.save({"t": spark.range(5), "u": spark.range(1)}, root, "scope")
     assert old["t"].count() == 3 and store.load(spark, root, "scope")["t"].count() == 5
+    store.save({"t": spark.range(7)}, root, "other")
+    assert store.load(spark, root, "scope")["t"].count() == 5 and store.load(spark, root, "other")["t"].count() == 7
+    store.save({"t": spark.range(6)}, root, "scope")
+    assert len([n for n in os.listdir(root) if n != "_manifest"]) == 3  # two of one scope, one of the other
+    store.clear(spark, root)
+    assert not os.path.exists(root)
     assert store.load(spark, f"{root}/none", "scope") is None
 
 
