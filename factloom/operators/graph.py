@@ -54,7 +54,7 @@ def _resolve_dots(path: Column) -> Column:
     return F.array_join(folded, "/")
 
 
-def _file_keys(files: DataFrame) -> DataFrame:
+def file_keys(files: DataFrame) -> DataFrame:
     """Keys a module path may use for a file: without extension, and the folder for index files."""
     stem = F.regexp_replace("path", EXT, "")
     is_index = stem.rlike("(^|/)index$")
@@ -65,6 +65,17 @@ def _file_keys(files: DataFrame) -> DataFrame:
 def resolve_modules(imports: DataFrame, files: DataFrame, packages: DataFrame | None = None,
                     aliases: DataFrame | None = None) -> DataFrame:
     """Distinct (file, module) of ``imports`` with the file they mean; unresolved modules are dropped."""
+    return resolve_options(module_options(imports, packages, aliases), files)
+
+
+def resolve_options(options: DataFrame, files: DataFrame) -> DataFrame:
+    """The first of each module's options that a file answers to: (file, module, target)."""
+    found = options.join(file_keys(files), "key")
+    return found.groupBy("file", "module").agg(F.min_by("target", F.struct("rank", "target")).alias("target"))
+
+
+def module_options(imports: DataFrame, packages: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """(file, module, rank, key): the keys that a module path of a file may stand for, in the order they are tried."""
     wanted = imports.select("file", "module").distinct()
     folder = F.array_join(paths.dirs_of(c("file")), "/")
     bare = F.regexp_replace("module", "\\.(tsx?|jsx?|mjs|cjs)$", "")
@@ -92,8 +103,7 @@ def resolve_modules(imports: DataFrame, files: DataFrame, packages: DataFrame |
             "target", F.lit("*"), F.substring(c("module"), F.length("prefix") + 1, F.lit(1 << 20))))
         options = options.unionByName(hit.select("file", "module", (c("ordinal") + 10).alias("rank"),
                                                  F.regexp_replace(_resolve_dots(goal), EXT, "").alias("key")))
-    found = options.join(_file_keys(files), "key")
-    return found.groupBy("file", "module").agg(F.min_by("target", F.struct("rank", "target")).alias("target"))
+    return options
 
 
 def definitions(exports: DataFrame, declarations: DataFrame, bindings: DataFrame, modules: DataFrame) -> DataFrame:

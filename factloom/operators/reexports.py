@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import cut_lineage
+from factloom.session import stored
 
 c = F.col
 DEF = ["def_file", "def_name", "def_line", "def_kind"]
@@ -22,11 +22,11 @@ DEF = ["def_file", "def_name", "def_line", "def_kind"]
 
 def star_closure(stars: DataFrame) -> DataFrame:
     """(file, via) for every file that a chain of ``export *`` leads to, by doubling: chains of n links take log n rounds."""
-    reach = cut_lineage(stars.select("file", c("target").alias("via")).distinct())
+    reach = stored(stars.select("file", c("target").alias("via")).distinct(), "reach")
     size = reach.count()
     while size:
         on = reach.select(c("file").alias("via"), c("via").alias("further"))
-        reach = cut_lineage(reach.unionByName(reach.join(on, "via").select("file", c("further").alias("via"))).distinct())
+        reach = stored(reach.unionByName(reach.join(on, "via").select("file", c("further").alias("via"))).distinct(), "reach")
         grown = reach.count()
         if grown == size:
             break
@@ -58,8 +58,8 @@ def follow(direct: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     The reason is ``cycle`` for names that only lead back to themselves, ``missing`` for those that lead to what no known file exports.
     """
     ends = direct.select(c("file").alias("to_file"), c("exported_as").alias("to_name")).distinct().withColumn("ended", F.lit(True))
-    pointers = cut_lineage(links.join(ends, ["to_file", "to_name"], "left").select(
-        "file", "name", "to_file", "to_name", F.coalesce("ended", F.lit(False)).alias("ended")))
+    pointers = stored(links.join(ends, ["to_file", "to_name"], "left").select(
+        "file", "name", "to_file", "to_name", F.coalesce("ended", F.lit(False)).alias("ended")), "pointers")
     found = -1
     while True:
         counts = pointers.agg(F.count_if("ended"), F.count_if(~c("ended"))).first()
@@ -69,7 +69,7 @@ def follow(direct: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
         on = pointers.select(c("file").alias("to_file"), c("name").alias("to_name"), c("to_file").alias("next_file"), c("to_name").alias("next_name"), "ended")
         moved = pointers.filter(~c("ended")).drop("ended").join(on, ["to_file", "to_name"]).select(
             "file", "name", c("next_file").alias("to_file"), c("next_name").alias("to_name"), "ended")
-        pointers = cut_lineage(pointers.filter("ended").unionByName(moved).distinct())
+        pointers = stored(pointers.filter("ended").unionByName(moved).distinct(), "pointers")
     own = direct.select("file", "exported_as", *DEF).distinct()
     there = own.select(c("file").alias("to_file"), c("exported_as").alias("to_name"), *DEF)
     led = pointers.filter("ended").join(there, ["to_file", "to_name"]).select("file", c("name").alias("exported_as"), *DEF)
@@ -103,5 +103,5 @@ def resolved(exports: DataFrame, declarations: DataFrame, bindings: DataFrame, m
     direct, edges = export_edges(exports, declarations, bindings, modules)
     if edges.isEmpty():
         return direct, direct.select("file", "exported_as", F.lit("missing").alias("reason")).limit(0)
-    direct, edges = cut_lineage(direct), cut_lineage(edges)
-    return follow(direct, cut_lineage(name_links(direct, edges)))
+    direct, edges = stored(direct, "direct"), stored(edges, "edges")
+    return follow(direct, stored(name_links(direct, edges), "links"))

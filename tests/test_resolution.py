@@ -55,7 +55,7 @@ def _walked(direct, edges):
     return found, left
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_reexports_against_walks(spark, seed):
     rng = random.Random(seed)
     files, names = [f"f{i}" for i in range(12)], ["a", "b", "c", "default"]
