@@ -69,7 +69,7 @@ def _planted(seed=5, dims=24):
             for i, v in zip(order, rows, strict=True)]
 
 
-@pytest.mark.parametrize("tile", [7, 64, vector_dedup.TILE])
+@pytest.mark.parametrize("tile", [7, vector_dedup.TILE])
 def test_vector_dedup_brute_force(spark, tile):
     rows = _planted()
     table = spark.createDataFrame([(*r, 1, "x", 2, "k", 5) for r in rows], VECTORS).repartition(5)
