@@ -6,6 +6,7 @@ Every function takes the ``tokens`` table. Lines are 1-based and columns 0-based
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import paths, text
@@ -434,13 +435,23 @@ def narrowings(tokens: DataFrame) -> DataFrame:
 
 
 def heritage(tokens: DataFrame) -> DataFrame:
-    """(file, name, parent) edges of ``extends`` and ``implements`` clauses."""
-    heads = tokens.filter(c("node").isin("class", "interface")).select("file", c("ord").alias("start"), "body", c("ann").alias("name"), "line", "col")
-    refs = tokens.filter((c("kind") == "id") & (c("p1").isin("extends", "implements") | (c("p1") == ","))
-                         & c("s1").isin("class", "interface", "export", "abstract", "default")
-                         ).select("file", "ord", c("text").alias("parent"), F.coalesce(c("p1") != ",", F.lit(True)).alias("direct"))
-    return heads.join(refs, "file").filter((c("ord") > c("start")) & (c("ord") < c("body"))).select(
-        "file", "name", "parent", "line", "col")
+    """(file, name, parent, direct, line, col) edges of ``extends`` and ``implements`` clauses; direct for the first of a clause.
+
+    A name belongs to the last head before it if that head's body comes later. The names of a clause and its heads are one
+    ordered stream per file, in which a running count of type brackets tells parents from their type arguments.
+    """
+    heads = c("node").isin("class", "interface") & c("body").isNotNull()
+    name = (c("kind") == "id") & c("s1").isin("class", "interface", "export", "abstract", "default")
+    rows = tokens.filter(heads | name).select("file", "ord", "text", "node", "body", "ann", "line", "col", "p1", "n1", "n2", "n3")
+    closed = F.when(c("n1") == ">", 1 + F.when(c("n2") == ">", 1 + F.when(c("n3") == ">", 1).otherwise(0)).otherwise(0)).otherwise(0)
+    opened = F.when(c("p1") == "<", 1).otherwise(0)
+    order = W.partitionBy("file").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    head = F.when(c("node").isin("class", "interface"), F.struct(c("ord").alias("start"), "body", c("ann").alias("name"), "line", "col"))
+    placed = rows.withColumn("head", F.last(head, ignorenulls=True).over(order)).filter((c("ord") > c("head.start")) & (c("ord") < c("head.body")))
+    clause = W.partitionBy("file", "head.start").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    deep = placed.withColumn("angle", opened + F.coalesce(F.sum(opened - closed).over(clause), F.lit(0)))
+    return deep.filter((c("angle") == 0) & (c("p1").isin("extends", "implements") | (c("p1") == ","))).select(
+        "file", "head.name", c("text").alias("parent"), (c("p1") != ",").alias("direct"), "head.line", "head.col")
 
 
 # Statement word to the kind of node an error on its line points at.

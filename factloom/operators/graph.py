@@ -247,6 +247,26 @@ def implementations(heritage: DataFrame, symbol: str) -> DataFrame:
     return heritage.filter(c("parent") == symbol)
 
 
+def resolved_heritage(heritage: DataFrame, refs: DataFrame) -> DataFrame:
+    """(file, name) with (parent_file, parent): what the parent's name means in the file, wherever it is declared."""
+    meant = refs.select("file", c("local").alias("parent"), c("def_file").alias("parent_file"), c("def_symbol").alias("meant")).distinct()
+    return heritage.join(meant, ["file", "parent"]).select("file", "name", "parent_file", c("meant").alias("parent")).distinct()
+
+
+def all_implementations(resolved: DataFrame) -> DataFrame:
+    """(file, name, ancestor_file, ancestor, direct) for every ancestor, however far up, in rounds of doubling."""
+    node = lambda file, name: F.concat_ws("#", file, name)
+    names = stored(resolved.select("file", "name").unionByName(resolved.select(c("parent_file").alias("file"), c("parent").alias("name"))).distinct().withColumn(
+        "node", node("file", "name")), "nodes")
+    up = stored(resolved.select(node("file", "name").alias("file"), node("parent_file", "parent").alias("target")).distinct(), "parents")
+    near = up.select("file", c("target").alias("via"), F.lit(True).alias("direct"))
+    reach = reexports.star_closure(up).join(near, ["file", "via"], "left").withColumnRenamed("file", "child")
+    below = names.select(c("node").alias("child"), c("file").alias("own_file"), "name")
+    above = names.select(c("node").alias("via"), c("file").alias("ancestor_file"), c("name").alias("ancestor"))
+    return reach.join(below, "child").join(above, "via").select(
+        c("own_file").alias("file"), "name", "ancestor_file", "ancestor", F.coalesce("direct", F.lit(False)).alias("direct"))
+
+
 def call_hierarchy(edges: DataFrame, symbol: str, direction: str = "incoming") -> DataFrame:
     """One hop of callers or callees with call counts."""
     if direction == "incoming":
