@@ -406,33 +406,37 @@ def prefix_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str)
 def first_fit(items: DataFrame, keys: list[str], order: str, cost: str, budget: int) -> DataFrame:
     """Greedy selection in order: take an item if it still fits the budget, skip it otherwise. Adds ``taken``.
 
-    The sequential rule is replayed in rounds over all keys at once. In a round the items that fit the
-    remaining budget are summed up; they are taken up to the first one that overflows, which fixes the next
-    round's budget and start. An overflowing item costs more than what is left, so every round shrinks
-    the items that can still fit.
+    The sequential rule is replayed by size classes. While at least u and less than 2u is left, u a power of two, every item under u
+    fits, and an item of u or more that fits leaves less than u. So the class ends with the first item that is taken and leaves less
+    than u, and one prefix sum over the items under u finds it. In a round every key goes through the class that it is in; the rounds
+    are at most the binary digits of the budget, whatever the items. A key that can't take its least item any more is done.
+
+    Items of cost 0 always fit. Orders are unique within a key; items with a null key, order or cost are not taken.
     """
     # Rounds read this narrow copy, not the plan that produced the items.
-    work = cut_lineage(items.select(*keys, c(order).cast("long").alias("__o"), c(cost).cast("long").alias("__c")).filter(c("__c") <= budget))
-    state = work.select(*keys).distinct().select(*keys, F.lit(budget).cast("long").alias("left"), F.lit(None).cast("long").alias("pos"))
+    work = cut_lineage(items.select(*keys, c(order).cast("long").alias("__o"), c(cost).cast("long").alias("__c")).filter(
+        (c("__c") > 0) & (c("__c") <= budget)))
+    state = cut_lineage(work.groupBy(*keys).agg(F.min("__c").alias("least")).select(
+        *keys, "least", F.lit(budget).cast("long").alias("left"), F.lit(None).cast("long").alias("pos")))
     rounds = None
-    while True:
-        state = cut_lineage(state)
-        if state.isEmpty():
-            break
-        live = work.join(state, keys).filter((c("__c") <= c("left")) & (c("pos").isNull() | (c("__o") > c("pos"))))
-        summed = prefix_sum(live, keys, "__o", "__c", "__sum")
-        fits = c("__sum") <= c("left")
-        outcome = cut_lineage(summed.groupBy(*keys, "left", "pos").agg(
-            F.coalesce(F.max(F.when(fits, c("__sum"))), F.lit(0)).alias("used"), F.min(F.when(~fits, c("__o"))).alias("stop")))
-        part = outcome.select(*keys, "left", "pos", "stop")
+    while not state.isEmpty():
+        turn = state.withColumn("unit", F.expr("shiftleft(1L, length(bin(left)) - 1)"))
+        live = work.join(turn, keys).filter((c("__c") <= c("left")) & (c("pos").isNull() | (c("__o") > c("pos")))).withColumn(
+            "__small", F.when(c("__c") < c("unit"), c("__c")).otherwise(0))
+        after = c("left") - (c("__sum") - c("__small")) - c("__c")
+        ends = prefix_sum(live, keys, "__o", "__small", "__sum").withColumn("after", after).filter((c("after") >= 0) & (c("after") < c("unit")))
+        ended = ends.groupBy(*keys).agg(F.min(F.struct("__o", "after")).alias("end"))
+        part = cut_lineage(turn.join(ended, keys, "left").select(*keys, "least", "pos", c("end.__o").alias("stop"), c("end.after").alias("after"), "unit"))
         rounds = part if rounds is None else rounds.unionByName(part)
-        state = outcome.filter(c("stop").isNotNull()).select(*keys, (c("left") - c("used")).alias("left"), c("stop").alias("pos"))
-    if rounds is None:
-        return items.withColumn("taken", F.lit(False))
-    steps = rounds.groupBy(*keys).agg(F.collect_list(F.struct("left", "pos", "stop")).alias("__rounds"))  # few rounds per key
+        state = part.filter(c("after") >= c("least")).select(*keys, "least", c("after").alias("left"), c("stop").alias("pos"))
     o, k = c(order).cast("long"), c(cost).cast("long")
-    taken = F.exists("__rounds", lambda r: (k <= r["left"]) & (r["pos"].isNull() | (o > r["pos"])) & (r["stop"].isNull() | (o < r["stop"])))
-    return items.join(steps, keys, "left").withColumn("taken", F.coalesce(taken, F.lit(False))).drop("__rounds")
+    free = F.lit(budget >= 0) & (k == 0)
+    if rounds is None:
+        return items.withColumn("taken", F.coalesce(free, F.lit(False)))
+    steps = rounds.groupBy(*keys).agg(F.collect_list(F.struct("pos", "stop", "unit")).alias("__rounds"))  # one a class
+    within = lambda r: (r["pos"].isNull() | (o > r["pos"])) & (r["stop"].isNull() | (o < r["stop"])) & (k < r["unit"])
+    taken = F.exists("__rounds", lambda r: within(r) | (o == r["stop"]).eqNullSafe(True))
+    return items.join(steps, keys, "left").withColumn("taken", F.coalesce(free | taken, free, taken, F.lit(False))).drop("__rounds")
 
 
 def context_class(depth: Column, is_test: Column) -> Column:

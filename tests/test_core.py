@@ -5,6 +5,7 @@ import os
 import random
 import tempfile
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from factloom.functions import lexer, text
 from factloom.operators import diff, graph, patterns, ranking, workflows
 from factloom.plans import routing
+from factloom.session import cut_lineage
 from factloom.sources import files as src
 from factloom.sources import store
 from factloom.sources.configs import config_entries
@@ -58,6 +60,34 @@ def test_first_fit_against_loop(spark):
             assert got[k, o] == take
 
 
+def _greedy(costs, budget):
+    left, out = budget, []
+    for cost in costs:
+        out.append(cost is not None and cost <= left)
+        left -= cost if out[-1] else 0
+    return out
+
+
+@pytest.mark.parametrize("budget", [0, 1, 1000])
+def test_first_fit_rounds_follow_the_budget_not_the_items(spark, budget, monkeypatch):
+    """Items that each overflow what is left by one, zero and missing costs, one key with most rows."""
+    rng = random.Random(budget)
+    stairs = [x for i in range(400) for x in (1, 1000 - i)]
+    lists = {"stairs": stairs, "hot": [rng.randint(0, 9) for _ in range(9000)], "large": [1001, 1000, 1], "missing": [None, 500, None, 500, 1], "none": [2000]}
+    df = spark.createDataFrame([(k, o, x) for k, costs in lists.items() for o, x in enumerate(costs)], "k string, o long, cost long")
+    cuts = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda d: cuts.append(1) or cut_lineage(d))
+    got = {}
+    for r in graph.first_fit(df, ["k"], "o", "cost", budget).orderBy("k", "o").collect():
+        got.setdefault(r["k"], []).append(r["taken"])
+    assert got == {k: _greedy(costs, budget) for k, costs in lists.items()}
+    assert len(cuts) <= 2 + budget.bit_length()
+
+
+def test_first_fit_of_nothing(spark):
+    assert graph.first_fit(spark.createDataFrame([], "k string, o long, cost long"), ["k"], "o", "cost", 9).count() == 0
+
+
 def test_walk_with_cycle_and_fan_out(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "e"), ("e", "f")], "src string, dst string")
     seeds = spark.createDataFrame([("s", "a")], "seed string, node string")
