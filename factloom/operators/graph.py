@@ -394,7 +394,8 @@ def prefix_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str)
     Rows are summed per (keys, chunk of the order), chunk totals are accumulated, and only chunks meet in a
     window together; a hot key is spread over its chunks.
     """
-    chunked = df.withColumn("__chunk", F.floor(c(order) / CHUNK))
+    # Dealt by chunk on purpose: rows that come dealt by the keys alone would leave a hot key in one task.
+    chunked = df.withColumn("__chunk", F.floor(c(order) / CHUNK)).repartition(*keys, "__chunk")
     totals = chunked.groupBy(*keys, "__chunk").agg(F.sum(value).alias("__total"))
     before = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*keys, "__chunk", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
