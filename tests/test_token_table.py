@@ -1,5 +1,7 @@
 """The token table: how files are dealt, what is stored, and one pass over it for exports."""
 
+import sys
+
 from pyspark.sql import functions as F
 
 from factloom.functions import lexer
@@ -47,6 +49,34 @@ def test_files_cut_together_give_the_rows_of_each_alone():
     assert lexer.token_batch([]).num_rows == 0
 
 
+def test_a_token_takes_few_steps():
+    """Lines of Python run per token: columns are looked up for a whole batch, not row by row."""
+    code = ("import { a as b } from './m';\nexport async function f(x: string, y = 1): Promise<number> {\n"
+            "  for (const s of items) { await load(s, `v${s.id}`); }\n  switch (k) { case L.Low: break; default: g(); }\n  return x / 2;\n}\n") * 20
+    lexer.token_batch([("a.ts", code)])  # imports done on first use are not counted
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        lexer.token_batch([("a.ts", code)])
+    finally:
+        sys.settrace(before)
+    assert steps / len(lexer.cut(code)[0]) < 61
+
+
+def test_cutting_goes_on_after_templates_and_patterns():
+    kinds, texts, offs, lines, cols, comments = lexer.cut("a = `x${b}y\n${c}z` / 2;\nd = /[/]q/g // e\n\u00a0f")
+    assert texts == ["a", "=", "`x${", "b", "}y\n${", "c", "}z`", "/", "2", ";", "d", "=", "/[/]q/g", "f"]
+    assert kinds[2:7:2] == ["tpl"] * 3 and kinds[7] == "op" and kinds[12] == "regex"
+    assert (lines[5], cols[5], lines[12], cols[12], lines[13], cols[13]) == (2, 2, 3, 4, 4, 1) and comments == {13: ["// e"]}
+
+
 def test_exports_read_the_tokens_once(spark, tmp_path):
     path = f"{tmp_path}/tokens"
     lexer.tokens(spark.createDataFrame(SOURCES, ["path", "text"])).write.parquet(path)
