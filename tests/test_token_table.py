@@ -4,9 +4,12 @@ import sys
 
 from pyspark.sql import functions as F
 
+import pyarrow.parquet as pq
+import pytest
+
 from factloom.functions import lexer
-from factloom.operators import facts
-from factloom.session import dealt
+from factloom.operators import facts, graph, scopes
+from factloom.session import _mounted, dealt, stored_batches
 from factloom.tables import corpus, module_corpus
 
 SOURCES = [
@@ -97,3 +100,55 @@ def test_catalog_tokens_are_dealt_by_files(spark, tmp_path, monkeypatch):
                               *extra.get(name, [])).write.parquet(f"{tmp_path}/{name}.parquet")
     files, _ = module_corpus.catalog(spark, str(tmp_path))
     assert dealings == [files.count()]
+
+
+def test_tasks_write_the_token_table(spark):
+    files = spark.createDataFrame(SOURCES, ["path", "text"]).repartition(3)
+    kept = lexer.stored_tokens(files, "t")
+    assert kept.schema == lexer.tokens(files).schema
+    assert sorted(map(str, kept.collect())) == sorted(map(str, lexer.tokens(files).collect()))
+    assert all(pq.ParquetFile(x.removeprefix("file://")).metadata.created_by.startswith("parquet-cpp") for x in kept.inputFiles())
+    none = lexer.stored_tokens(files.filter("path is null"), "t")
+    assert none.schema == kept.schema and none.count() == 0
+
+
+def test_a_file_that_no_task_named_is_not_read(spark, tmp_path):
+    def make(batches):
+        for batch in batches:
+            yield from [batch, batch]
+
+    kept = stored_batches(spark.range(5, numPartitions=1), make, "id bigint", "numbers")
+    (at,) = kept.inputFiles()
+    pq.write_table(pq.read_table(at.removeprefix("file://")), at.removeprefix("file://").replace("part-", "part-9"))
+    assert sorted(r["id"] for r in kept.collect()) == sorted([*range(5), *range(5)])
+
+
+def test_a_task_that_fails_gives_no_table(spark):
+    def make(batches):
+        yield next(batches)
+        raise ValueError("cut off")
+
+    with pytest.raises(Exception, match="cut off"):
+        stored_batches(spark.range(5, numPartitions=1), make, "id bigint", "numbers")
+
+
+def test_only_mounted_folders_are_written_by_tasks(spark):
+    assert _mounted(spark, "/a b/c") == "/a b/c" and _mounted(spark, "file:///a%20b/c") == "/a b/c"
+    assert _mounted(spark, "hdfs://host/a") is None and _mounted(spark, "viewfs:///in/a") is None
+
+
+def test_extents_read_the_tokens_once(spark, tmp_path):
+    code = "export function f(x: string) { for await (const s of x) { g(s); } try { g(); } catch (e) { h(e); } return (q) => q; }\nconst k = w => w;"
+    table = lexer.stored_tokens(spark.createDataFrame([("a.ts", code)], ["path", "text"]), "t")
+    assert leaves(scopes.extents(table)) == 1
+    everything = {tuple(r) for r in scopes.local_scopes(table).select("file", "name", "start", "end").collect()}
+    assert {x[1] for x in everything} == {"x", "s", "e", "q", "w"}
+    wanted = spark.createDataFrame([("a.ts", "s"), ("a.ts", "w"), ("b.ts", "x")], ["file", "name"])
+    assert {tuple(r) for r in scopes.local_scopes(table, wanted).select("file", "name", "start", "end").collect()} == {x for x in everything if x[1] in "sw"}
+
+
+def test_no_side_that_grows_with_the_code_is_broadcast(spark):
+    """A guess from file sizes would broadcast these; at their real size they don't fit the driver."""
+    table = lexer.stored_tokens(spark.createDataFrame(SOURCES, ["path", "text"]), "t")
+    for found in (facts.shapes(table), graph.hover(facts.shapes(table), facts.docs(table))):
+        assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
