@@ -10,7 +10,7 @@ import pytest
 from factloom.functions import lexer
 from factloom.operators import facts, graph, scopes
 from factloom.session import _mounted, dealt, stored_batches
-from factloom.tables import corpus, module_corpus
+from factloom.tables import code_queries, corpus, module_corpus
 
 SOURCES = [
     ("a.ts", "export function f(x: string, y = 1): number { return g(x); }\nexport { f as h, type T } from './b';\n"),
@@ -152,3 +152,14 @@ def test_no_side_that_grows_with_the_code_is_broadcast(spark):
     table = lexer.stored_tokens(spark.createDataFrame(SOURCES, ["path", "text"]), "t")
     for found in (facts.shapes(table), graph.hover(facts.shapes(table), facts.docs(table))):
         assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_auto_import_has_every_exported_function(spark, tmp_path):
+    """Guards of customer modules and functions of order modules, too; apps have no package, so their path is the file."""
+    folder = customers(spark, tmp_path, 3)
+    spark.createDataFrame([(7, 2, "O", "5-LOW"), (8, 9, "F", "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(
+        f"{folder}/orders.parquet")
+    spark.range(25).select(F.col("id").cast("int").alias("n_nationkey")).write.parquet(f"{folder}/nation.parquet")
+    got = sorted((r["def_symbol"], r["import_path"]) for r in code_queries.auto_import(spark, folder).collect())
+    assert got == sorted([(f"{name}{k}", f"@shop/nation{k}/customer{k}") for k in range(3) for name in ("customer", "isInfo")] + [
+        ("order7", "apps/app7/src/order7.spec.ts")])
