@@ -1,5 +1,6 @@
 """The token table: how files are dealt, what is stored, and one pass over it for exports."""
 
+import re
 import sys
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from factloom.functions import lexer
-from factloom.operators import facts, graph, scopes
+from factloom.operators import facts, graph, scopes, structural
 from factloom.session import _mounted, dealt, stored_batches
 from factloom.tables import code_queries, corpus, module_corpus
 
@@ -163,3 +164,56 @@ def test_auto_import_has_every_exported_function(spark, tmp_path):
     got = sorted((r["def_symbol"], r["import_path"]) for r in code_queries.auto_import(spark, folder).collect())
     assert got == sorted([(f"{name}{k}", f"@shop/nation{k}/customer{k}") for k in range(3) for name in ("customer", "isInfo")] + [
         ("order7", "apps/app7/src/order7.spec.ts")])
+
+
+def test_plain_text_is_cut_like_any_other():
+    """A template at the end sends the same text the longer way."""
+    code = "a = 'x\\\ny' /* b\nc */ + 1.5e3; // d\n\tlet $e_ = (f?.g ?? \"h\") => { i++ };\n'j"
+    short, long = lexer.cut(code), lexer.cut(code + "\n`k`")
+    assert [x[:-1] for x in long[:5]] == list(short[:5]) and long[5] == short[5] == {3: ["/* b\nc */"], 6: ["// d"]} and short[0][-2:] == ["op", "id"]
+
+
+def test_scans_of_declarations_are_compiled(spark, tmp_path):
+    """The JVM leaves methods of more than 8,000 bytes to its interpreter."""
+    table = lexer.stored_tokens(spark.createDataFrame(SOURCES, ["path", "text"]), "t")
+    for found in (facts.declarations(table).drop("path_tokens", "symbol_tokens"), facts.exports(table)):
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(found._jdf.queryExecution().executedPlan())
+        assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+
+
+def test_tokens_tell_names_that_their_file_gives_a_meaning():
+    code = "import { a as b } from './m';\nexport const c = (p) => { b(p, q); s.c(); };\nfunction f() {\n  let d = x => c; }\n"
+    rows = lexer.token_batch([("a.ts", code), ("z.ts", "q(b, p, c);")]).to_pylist()
+    named = lambda flag, file: {r["text"] for r in rows if r[flag] and r["file"] == file}
+    assert named("known", "a.ts") >= {"b", "c", "f"} and not named("known", "a.ts") & {"p", "q", "s", "d", "x"}
+    assert named("param_name", "a.ts") == {"p", "x"} and not named("known", "z.ts") | named("param_name", "z.ts")
+    assert [r["line"] for r in rows if r["leads_line"]] == [1, 2, 3, 4, 1]
+
+
+def test_references_move_only_names_with_a_meaning(spark):
+    files = [("a.ts", "export function f(x: string) { g(x); const f2 = 1; h(f2); return f; }"), ("b.ts", "import { f } from './a'; f(1); { const f = 2; f; } k(f);")]
+    table = lexer.stored_tokens(spark.createDataFrame(files, ["path", "text"]), "t")
+    decls, bindings = facts.declarations(table), graph.import_bindings(table)
+    modules = graph.resolve_modules(bindings, spark.createDataFrame(files, ["path", "text"]))
+    refs = graph.references(table, bindings, modules, graph.definitions(facts.exports(table), decls, bindings, modules), decls)
+    assert sorted((r["file"], r["local"], r["col"]) for r in refs.collect()) == [("a.ts", "f", 65), ("b.ts", "f", 9), ("b.ts", "f", 25), ("b.ts", "f", 53)]
+    assert "known" in refs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_error_sites_move_first_rows_and_calls_only(spark):
+    table = lexer.stored_tokens(spark.createDataFrame([("a.ts", "const a = f(1) + b.c + d;\nreturn x;\n  y.z;\n")], ["path", "text"]), "t")
+    found = facts.nodes_at_lines(table, spark.createDataFrame([("a.ts", x) for x in (1, 2, 3, 4)], ["file", "line"]))
+    assert sorted((r["line"], r["kind"]) for r in found.collect()) == [(1, "variable"), (2, "return"), (3, "expression")]
+    assert "leads_line" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_node_has_two_edges_in_the_stream(spark, monkeypatch):
+    """What is open where a node starts is read at its own first edge; an interval from the file's start would double the stream."""
+    asked = []
+    count = structural.count_inside
+    monkeypatch.setattr(structural, "count_inside", lambda intervals, *rest, **more: asked.append(intervals) or count(intervals, *rest, **more))
+    table = lexer.stored_tokens(spark.createDataFrame([("a.ts", "useEffect(() => { f(g(1)); return () => h(); }, []);")], ["path", "text"]), "t")
+    found = {(r["node"], r["identifier"]): r for r in structural.predicate_table(table).collect()}
+    assert asked[-1].count() == facts.nodes(table).count() + 1  # and one callback
+    assert found["call", "useEffect"]["p_returns_cleanup"] and not found["call", "useEffect"]["p_inside_hook"] is None
+    assert found["call", "g"]["p_inside_hook"] and not found["call", "g"]["p_hook_callback"]
